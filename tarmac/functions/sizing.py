@@ -1,0 +1,20 @@
+"""Size-checked broadcast.
+
+A side is broadcast only after a cheap bounded count proves it small
+(``limit(max_rows + 1).count()`` stops reading once the bound is passed).
+Otherwise it is returned unchanged and the planner chooses (sort-merge or
+shuffled hash join, re-planned by AQE with runtime sizes).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Dimension bounds: number of airports in the world, carriers, presets.
+MAX_DIMENSION_ROWS = 200_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
