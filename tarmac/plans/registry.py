@@ -9,6 +9,7 @@ from tarmac.plans import catalog
 _MODULES = [
     "tarmac.plans.q_flights",
     "tarmac.plans.q_weather",
+    "tarmac.plans.q_split",
 ]
 
 
