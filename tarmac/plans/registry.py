@@ -10,6 +10,7 @@ _MODULES = [
     "tarmac.plans.q_flights",
     "tarmac.plans.q_weather",
     "tarmac.plans.q_split",
+    "tarmac.plans.q_models",
 ]
 
 
