@@ -248,23 +248,56 @@ def _closure(names: list[str]) -> list[str]:
     return out
 
 
+_BASE: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def register_base(spark: SparkSession, sf_dir: str, tables: list[str] | None = None) -> None:
+    """Register base tables as temp views (each parquet footer read once per
+    session and directory)."""
     for t in tables or BASE_TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        key = (spark.sparkContext.applicationId, sf_dir, t)
+        if key not in _BASE:
+            _BASE[key] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        _BASE[key].createOrReplaceTempView(t)
+
+
+def _base_tables_of(names: list[str]) -> list[str]:
+    import re
+    text = " ".join(VIEWS[n][0] for n in names)
+    return [t for t in BASE_TABLES if re.search(rf"\b{t}\b", text)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Build a derived input view on Spark (analysed eagerly, so later
-    re-registration of the base views does not change it)."""
-    register_base(spark, sf_dir)
+_MATERIALISED: dict[tuple[str, str, str], str] = {}
+
+
+def fixture(spark: SparkSession, sf_dir: str, name: str, materialise: bool = True) -> DataFrame:
+    """Build a derived input on Spark.
+
+    With ``materialise`` the input is written once per session as a Parquet
+    table under the shared checkpoint folder and read back from there (the
+    same role as the landed source files of the analysed pipeline): later
+    queries scan it with column pruning and pushdown instead of re-running the
+    derivation joins, and its lineage is cut.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if materialise and key in _MATERIALISED:
+        return spark.read.parquet(_MATERIALISED[key])
+    register_base(spark, sf_dir, _base_tables_of(_closure([name])))
     for n in _closure([name]):
         df = spark.sql(view_sql(n, "spark"))
         df.createOrReplaceTempView(n)
-    return spark.table(name)
+    df = spark.table(name)
+    if not materialise:
+        return df
+    from tarmac.session import scratch_path
+    path = scratch_path(spark, f"input_{name}")
+    df.write.mode("overwrite").parquet(path)
+    _MATERIALISED[key] = path
+    return spark.read.parquet(path)
 
 
 def oracle_with(names: list[str], body: str) -> str:

@@ -173,32 +173,74 @@ def nonconstant_names(df: DataFrame, cols: list[str] | None = None) -> list[str]
     return [c for c in cols if c in keep]
 
 
-def corr_pairs(df: DataFrame, cols: list[str], chunk: int = 48) -> DataFrame:
+def comoments(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Pairwise-complete co-moment sums for every column pair (i > j).
+
+    One pass: each task folds its rows into small numpy matrices (``n``,
+    sums, sums of squares and cross products over rows where both values are
+    present, data centred by the global means for numerical stability) and
+    emits one row per pair; Spark sums those rows per pair. Output per task
+    is bounded by the number of pairs, never by the rows.
+    """
+    import numpy as np
+    import pandas as pd
+
+    means = df.agg(*[F.avg(_q(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    shift = np.array([means[f"m{i}"] if means[f"m{i}"] is not None else 0.0 for i in range(len(cols))])
+    k = len(cols)
+    ii, jj = np.tril_indices(k, -1)
+
+    def fold(it):
+        n = np.zeros((k, k)); sx = np.zeros((k, k)); sxx = np.zeros((k, k)); sxy = np.zeros((k, k))
+        seen = False
+        for pdf in it:
+            if pdf.empty:
+                continue
+            seen = True
+            X = pdf.to_numpy(dtype="float64") - shift
+            M = (~np.isnan(X)).astype("float64")
+            X0 = np.where(M > 0, X, 0.0)
+            n += M.T @ M                 # rows where both present
+            sx += X0.T @ M               # sum of x_i where j present
+            sxx += (X0 * X0).T @ M       # sum of x_i^2 where j present
+            sxy += X0.T @ X0             # cross products (zero when either missing)
+        if seen:
+            yield pd.DataFrame({"i": ii.astype("int32"), "j": jj.astype("int32"), "n": n[ii, jj],
+                                "sx": sx[ii, jj], "sy": sx[jj, ii], "sxx": sxx[ii, jj],
+                                "syy": sxx[jj, ii], "sxy": sxy[ii, jj]})
+
+    src = df.select(*[_q(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    parts = src.mapInPandas(fold, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ["n", "sx", "sy", "sxx", "syy", "sxy"]])
+
+
+def _corr_expr():
+    n = F.col("n")
+    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
+    vy = F.col("syy") - F.col("sy") * F.col("sy") / n
+    return F.when((n >= 2) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+
+
+def corr_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation, pairwise complete, lower triangle: ``(a, b, corr)``
-    for every pair with b before a in ``cols``. Aggregates are built in chunks
-    so that each generated aggregate stays small."""
-    pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i)]
-    parts = []
-    for k in range(0, len(pairs), chunk):
-        sub = pairs[k:k + chunk]
-        names = [f"p{k + n}" for n in range(len(sub))]
-        wide = df.agg(*[F.corr(_q(a).cast("double"), _q(b).cast("double")).alias(nm)
-                        for (a, b), nm in zip(sub, names)])
-        lab = df.sparkSession.createDataFrame([(nm, a, b) for (a, b), nm in zip(sub, names)],
-                                              "pair string, a string, b string")
-        parts.append(wide.unpivot([], names, "pair", "corr").join(F.broadcast(lab), "pair")
-                         .select("a", "b", "corr"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    for every pair with b before a in ``cols``."""
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "idx int, name string")
+    cm = comoments(df, cols)
+    return (cm.join(F.broadcast(names.select(F.col("idx").alias("i"), F.col("name").alias("a"))), "i")
+              .join(F.broadcast(names.select(F.col("idx").alias("j"), F.col("name").alias("b"))), "j")
+              .select("a", "b", _corr_expr().alias("corr")))
 
 
 def corr_target(df: DataFrame, cols: list[str], target: str) -> DataFrame:
-    """|corr(col, target)| for each column, sorted descending."""
-    wide = df.agg(*[F.abs(F.corr(_q(c).cast("double"), _q(target).cast("double"))).alias(c) for c in cols])
-    return (wide.unpivot([], cols, "column_name", "abs_corr")
-                .orderBy(F.col("abs_corr").desc_nulls_last(), "column_name"))
+    """|corr(col, target)| for each column (the target itself gives 1),
+    sorted descending."""
+    others = [c for c in cols if c != target]
+    pairs = corr_pairs(df, [target] + others).where(F.col("b") == target)
+    out = pairs.select(F.col("a").alias("column_name"), F.abs("corr").alias("abs_corr"))
+    if target in cols:
+        out = out.unionByName(df.sparkSession.createDataFrame([(target, 1.0)], "column_name string, abs_corr double"))
+    return out.orderBy(F.col("abs_corr").desc_nulls_last(), "column_name")
 
 
 def split_sizes(df: DataFrame, split_col: str = "split") -> DataFrame:
