@@ -100,7 +100,7 @@ FROM nation WHERE n_nationkey < 5
 
 VIEWS["weather_daily"] = ("""
 SELECT concat('A', CAST(c.c_nationkey AS STRING)) AS airport,
-  CAST(year(o.o_orderdate) AS INT) AS year,
+  CAST(year(o.o_orderdate) AS INT) AS year, o.o_orderkey AS obs_id,
   CASE WHEN o.o_orderkey % 97 = 0 THEN 'n/a' ELSE CAST(CAST(o.o_orderdate AS DATE) AS STRING) END AS time,
   CASE WHEN o.o_orderkey % 53 = 0 THEN NULL ELSE CAST(floor(o.o_totalprice / 10000) AS DOUBLE) END AS temperature_2m_mean,
   CAST(o.o_orderkey % 40 AS DOUBLE) AS precipitation_sum,

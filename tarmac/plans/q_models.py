@@ -22,6 +22,7 @@ from tarmac.operators import score as SC
 from tarmac.plans.catalog import _rsel, load, query, r6
 from tarmac.plans.q_split import _FWS_SQL, split_weather
 from tarmac.session import scratch_path
+from tarmac.sources import files as IO
 from tarmac.streaming import scoring as ST
 
 FEATURES = S.FEATURES_REFERENCE
@@ -240,7 +241,18 @@ def q_importance_mean_abs(spark, sf):
 @query("importance_topk", oracle_with(["importance_a"], """
 SELECT feature, round(importance, 6) AS importance FROM importance_a ORDER BY importance DESC, feature LIMIT 20"""))
 def q_importance_topk(spark, sf):
-    return r6(H.top_k(load(spark, sf, "importance_a"), 20))
+    """W2 + S18: top-20 written as a CSV report and read back."""
+    path = scratch_path(spark, "top20_csv")
+    IO.write_csv(H.top_k(load(spark, sf, "importance_a"), 20), path)
+    return r6(spark.read.schema("feature string, importance double").option("header", True).csv(path))
+
+
+@query("shap_importance_top20")
+def q_shap_importance_top20(spark, sf):
+    """H1 -> A18 -> W2 on the trained classifier: mean |SHAP| per encoded
+    feature over the training rows, 20 largest."""
+    attr, _, _, _, _ = _shap(spark, sf, "classifier")
+    return H.top_k(H.mean_abs_importance(attr, "row_id", "feature", "value"), 20)
 
 
 _CMP_SQL = """

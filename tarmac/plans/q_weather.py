@@ -126,15 +126,21 @@ def q_preset_names(spark, sf):
 
 
 # ---------------------------------------------------------------- weather
+ARCHIVE_CHUNK = 1024
+
+
 def _archive_lines(daily):
-    """Fixture packing: weather_daily rows -> one archive document per
-    (airport, year), values ordered by date text."""
+    """Fixture packing: weather_daily rows -> archive documents per
+    (airport, year) with parallel daily arrays. A document holds at most
+    ``ARCHIVE_CHUNK`` observations (chunks of the observation id), so no
+    group grows with the data."""
     rows = F.sort_array(F.collect_list(F.struct("time", *S.WEATHER_COLUMNS)))
+    daily = daily.withColumn("chunk", F.floor(F.col("obs_id") / ARCHIVE_CHUNK))
 
     def field(name):
         return F.transform("r", lambda x: x.getField(name)).alias(name)
 
-    return (daily.groupBy("airport", "year").agg(rows.alias("r"))
+    return (daily.groupBy("airport", "year", "chunk").agg(rows.alias("r"))
                  .select("airport", "year",
                          F.struct(field("time"), *[field(c) for c in S.WEATHER_COLUMNS]).alias("daily")))
 
