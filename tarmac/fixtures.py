@@ -300,6 +300,18 @@ def fixture(spark: SparkSession, sf_dir: str, name: str, materialise: bool = Tru
     return spark.read.parquet(path)
 
 
+def materialised(spark: SparkSession, key: str, build) -> DataFrame:
+    """Write ``build()`` once per session as a Parquet table under the shared
+    checkpoint folder and read it back (lineage cut; later readers scan it)."""
+    k = (spark.sparkContext.applicationId, "derived", key)
+    if k not in _MATERIALISED:
+        from tarmac.session import scratch_path
+        path = scratch_path(spark, "derived")
+        build().write.mode("overwrite").parquet(path)
+        _MATERIALISED[k] = path
+    return spark.read.parquet(_MATERIALISED[k])
+
+
 def oracle_with(names: list[str], body: str) -> str:
     """DuckDB SQL: the needed fixture views as CTEs followed by ``body``."""
     ctes = [f"{n} AS (\n{view_sql(n, 'duckdb')}\n)" for n in _closure(names)]

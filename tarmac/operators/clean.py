@@ -57,8 +57,11 @@ def prepare_base(df: DataFrame, threshold: float = S.HIGH_DELAY_RATE_THRESHOLD)
 def clean_strict(df: DataFrame) -> DataFrame:
     """Notebook variant: keep ``arr_flights > 0`` and rows with all of
     year, month, carrier, airport present."""
-    return (df.filter(F.col("arr_flights") > 0)
-              .dropna(subset=["year", "month", "carrier", "airport"]))
+    # explicit IS NOT NULL predicates (unlike dropna) are pushed to the scan
+    cond = F.col("arr_flights") > 0
+    for c in ("year", "month", "carrier", "airport"):
+        cond = cond & F.col(c).isNotNull()
+    return df.filter(cond)
 
 
 def extended_rates(df: DataFrame, threshold: float | None = None) -> DataFrame:

@@ -22,8 +22,11 @@ _PATH = r"/([^/]+)/(params|metrics|tags)/([^/]+)$"
 def runs_long(spark: SparkSession, root: str) -> DataFrame:
     """``(run_id, kind, name, value)`` for every file under ``root``; for
     metrics the value is the last logged value."""
-    raw = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
-                .select(F.col("_metadata.file_path").alias("path"), "value"))
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    # a run store is many tiny files: read ~32 per task instead of one or two
+    # (coalesce merges read partitions without a shuffle)
+    n_files = len(raw.inputFiles())
+    raw = raw.coalesce(max(1, n_files // 32)).select(F.col("_metadata.file_path").alias("path"), "value")
     parts = raw.select(F.regexp_extract("path", _PATH, 1).alias("run_id"),
                        F.regexp_extract("path", _PATH, 2).alias("kind"),
                        F.regexp_extract("path", _PATH, 3).alias("name"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarmac import schema as S
-from tarmac.fixtures import oracle_with
+from tarmac.fixtures import materialised, oracle_with
 from tarmac.operators import encode as EN
 from tarmac.operators import metrics as M
 from tarmac.operators import split as SP
@@ -36,17 +36,19 @@ SPLIT_SQL = _split_sql("flights_features")
 
 
 def split_features(spark, sf):
-    return SP.stratified_split(flights_features(spark, sf))
+    """Split table of the cleaned monthly data (written once per session)."""
+    return materialised(spark, f"split_features:{sf}", lambda: SP.stratified_split(flights_features(spark, sf)))
 
 
 def split_weather(spark, sf):
-    return SP.stratified_split(flights_weather(spark, sf))
+    """Split table of the weather-enriched data (written once per session)."""
+    return materialised(spark, f"split_weather:{sf}", lambda: SP.stratified_split(flights_weather(spark, sf)))
 
 
 @query("stratified_split", oracle_with(["flights_features"], SPLIT_SQL + """
 SELECT year, month, carrier, airport, high_delay_risk, split FROM s"""))
 def q_stratified_split(spark, sf):
-    return split_features(spark, sf).select(*KEYS, "high_delay_risk", "split")
+    return SP.stratified_split(flights_features(spark, sf)).select(*KEYS, "high_delay_risk", "split")
 
 
 @query("split_sizes", oracle_with(["flights_features"], SPLIT_SQL + """
