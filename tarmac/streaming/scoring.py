@@ -36,16 +36,25 @@ def stream_accept_reject(spark: SparkSession, source_dir: str, accepted_dir: str
                          checkpoint_dir: str) -> None:
     """Validated requests appended to the accepted sink, rejected ones
     (with their errors) to a second sink; one micro-batch feeds both writes
-    (persisted once, released after)."""
+    (persisted once, released after).
+
+    ``foreachBatch`` is at-least-once: a micro-batch re-run after a failure
+    gets the same epoch id. Each epoch is therefore written as its own
+    ``epoch=<id>`` partition with dynamic partition overwrite, so a re-run
+    replaces its earlier output instead of duplicating it.
+    """
     validated = SC.validate_requests(request_stream(spark, source_dir))
 
+    def write_epoch(df: DataFrame, path: str, epoch: int) -> None:
+        (df.withColumn("epoch", F.lit(epoch).cast("long"))
+           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy("epoch").parquet(path))
+
     def write_both(batch: DataFrame, epoch: int) -> None:
         batch.persist()
         try:
-            (batch.where("valid").drop("errors", "valid")
-                  .write.mode("append").parquet(accepted_dir))
-            (batch.where("NOT valid").select("request_id", "errors", F.lit(epoch).alias("epoch"))
-                  .write.mode("append").parquet(rejected_dir))
+            write_epoch(batch.where("valid").drop("errors", "valid"), accepted_dir, epoch)
+            write_epoch(batch.where("NOT valid").select("request_id", "errors"), rejected_dir, epoch)
         finally:
             batch.unpersist()
 

@@ -39,3 +39,16 @@ def test_stream_equals_batch(spark):
     # a restart with the same checkpoint processes nothing twice
     ST.stream_accept_reject(spark, src, acc, rej, ck)
     assert spark.read.parquet(acc).count() == len(got_acc)
+
+
+def test_epoch_rerun_is_idempotent(spark):
+    """A re-executed micro-batch (same epoch id) replaces its output."""
+    from pyspark.sql import functions as F
+    path = scratch_path(spark, "t_epoch")
+    df = spark.range(5)
+    for _ in range(2):
+        (df.withColumn("epoch", F.lit(3).cast("long")).write.mode("overwrite")
+           .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path))
+    (spark.range(2).withColumn("epoch", F.lit(4).cast("long")).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path))
+    assert spark.read.parquet(path).count() == 7
