@@ -55,15 +55,30 @@ def long_form(df: DataFrame, cols: list[str], name: str = "column_name", value:
     return df.select(*[_q(c).cast("double").alias(c) for c in cols]).unpivot([], cols, name, value)
 
 
-def describe_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """count, mean, sample std, min, 25/50/75 % (exact, linear), max per column."""
+def quantiles(lf: DataFrame, keys: list[str], value: str, probs: list[float], exact: bool = True,
+              accuracy: int = 100_000) -> DataFrame:
+    """``(keys..., prob, quantile)``: exact (distributed ranks) or, for very
+    large inputs, ``percentile_approx`` (a mergeable sketch per key, partial
+    aggregation, memory bounded by ``accuracy``)."""
+    if exact:
+        return exact_quantiles(lf, keys, value, probs)
+    arr = F.percentile_approx(value, probs, accuracy)
+    return (lf.groupBy(*keys).agg(arr.alias("_q"))
+              .select(*keys, F.posexplode("_q").alias("_i", "quantile"))
+              .withColumn("prob", F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1))
+              .select(*keys, "prob", "quantile"))
+
+
+def describe_numeric(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
+    """count, mean, sample std, min, 25/50/75 % (linear; exact by default),
+    max per column."""
     cols = cols or numeric_columns(df)
     lf = long_form(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
     base = lf.groupBy("column_name").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"))
-    q = exact_quantiles(lf, ["column_name"], "value", [0.25, 0.5, 0.75])
+    q = quantiles(lf, ["column_name"], "value", [0.25, 0.5, 0.75], exact)
     qw = q.groupBy("column_name").agg(
         F.max(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("p25"),
         F.max(F.when(F.col("prob") == 0.5, F.col("quantile"))).alias("p50"),
@@ -133,11 +148,11 @@ def density_curve(df: DataFrame, cols: list[str], gridsize: int = 200) -> DataFr
                        (F.col("k") / (F.col("n") * F.col("bw") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
 
 
-def boxplot_stats(df: DataFrame, cols: list[str], whis: float = 1.5) -> DataFrame:
+def boxplot_stats(df: DataFrame, cols: list[str], whis: float = 1.5, exact: bool = True) -> DataFrame:
     """Q1, median, Q3, whiskers (furthest points within whis*IQR) and outlier
     count per column."""
     lf = long_form(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    q = exact_quantiles(lf, ["column_name"], "value", [0.25, 0.5, 0.75])
+    q = quantiles(lf, ["column_name"], "value", [0.25, 0.5, 0.75], exact)
     qw = (q.groupBy("column_name").agg(
         F.max(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("q1"),
         F.max(F.when(F.col("prob") == 0.5, F.col("quantile"))).alias("median"),

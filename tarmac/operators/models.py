@@ -55,6 +55,34 @@ def encoder_stages(train: DataFrame, features: list[str]) -> list:
     return [scaler_stage(train, num), idx, ohe, asm]
 
 
+def baseline_encoder_stages(train: DataFrame, cat_cols: list[str], num_cols: list[str]) -> list:
+    """Baseline preprocessing (E4, E5 then E1, E2): most-frequent fill for
+    categories, exact median fill for numerics, population scaling, one-hot
+    keeping every seen category. Fill values and scaler statistics are
+    fitted on ``train`` (one value per column reaches the driver)."""
+    from tarmac.operators.encode import median_fill_values, mode_fill_values
+    med = {r["column_name"]: r["value"] for r in median_fill_values(train, num_cols).collect()}
+    mod = {r["column_name"]: r["value"] for r in mode_fill_values(train, cat_cols).collect()}
+    fills = [f"coalesce(CAST(`{c}` AS DOUBLE), {float(med[c])!r}) AS `{c}__f`" if med.get(c) is not None
+             else f"CAST(`{c}` AS DOUBLE) AS `{c}__f`" for c in num_cols]
+    fills += [f"coalesce(CAST(`{c}` AS STRING), {json.dumps(mod[c])}) AS `{c}__f`" if mod.get(c) is not None
+              else f"CAST(`{c}` AS STRING) AS `{c}__f`" for c in cat_cols]
+    impute = SQLTransformer(statement=f"SELECT *, {', '.join(fills)} FROM __THIS__")
+    imputed = impute.transform(train)
+    scale = scaler_stage(imputed, [f"{c}__f" for c in num_cols], "__z")
+    idx = StringIndexer(inputCols=[f"{c}__f" for c in cat_cols], outputCols=[f"{c}__idx" for c in cat_cols],
+                        stringOrderType="alphabetAsc", handleInvalid="keep")
+    ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in cat_cols], outputCols=[f"{c}__ohe" for c in cat_cols],
+                        dropLast=True, handleInvalid="keep")
+    asm = VectorAssembler(inputCols=[f"{c}__f__z" for c in num_cols] + [f"{c}__ohe" for c in cat_cols],
+                          outputCol="features", handleInvalid="keep")
+    return [impute, scale, idx, ohe, asm]
+
+
+def fit_baseline_encoder(train: DataFrame, cat_cols: list[str], num_cols: list[str]) -> PipelineModel:
+    return Pipeline(stages=baseline_encoder_stages(train, cat_cols, num_cols)).fit(train)
+
+
 def fit_encoder(train: DataFrame, features: list[str]) -> PipelineModel:
     return Pipeline(stages=encoder_stages(train, features)).fit(train)
 
@@ -151,16 +179,24 @@ def evaluate(model, df: DataFrame, kind: str) -> dict:
 
 
 def tune(train_enc: DataFrame, val_enc: DataFrame, kind: str, trials: list[dict],
-         parallelism: int = 2) -> list[dict]:
+         parallelism: int = 2, timeout_s: float | None = None) -> list[dict]:
     """Fixed-validation search (M6): every trial fits on the cached encoded
-    train set and is scored on the validation set (AUC max / RMSE min)."""
+    train set and is scored on the validation set (AUC max / RMSE min). With
+    ``timeout_s`` no new trial starts after the deadline (running ones finish)."""
+    import time
+    deadline = time.monotonic() + timeout_s if timeout_s is not None else None
+
     def run(i_p):
         i, p = i_p
+        if deadline is not None and time.monotonic() > deadline:
+            return None
         m = gbt(kind, p).fit(train_enc)
         return {"trial": i, "params": p, **evaluate(m, val_enc, kind)}
 
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
-        res = list(ex.map(run, enumerate(trials)))
+        res = [r for r in ex.map(run, enumerate(trials)) if r is not None]
+    if not res:
+        raise TimeoutError("no trial finished before the deadline")
     return res
 
 

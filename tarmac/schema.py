@@ -45,6 +45,16 @@ RISK_LOW_CUT, RISK_HIGH_CUT = 0.3, 0.7
 WEATHER_ARCHIVE_URL = "https://archive-api.open-meteo.com/v1/archive"
 WEATHER_URL_FORMAT = ("{base}?latitude={lat}&longitude={lon}&start_date={year}-01-01"
                       "&end_date={year}-12-31&daily={daily}&timezone=UTC")
+# Baseline models (strict-cleaned data with extended rates).
+BASELINE_CATEGORICAL = ["carrier", "carrier_name", "airport", "airport_name"]
+BASELINE_NUMERIC_CLF = ["year", "month", "arr_flights", "delay_rate", "avg_delay_per_flight",
+                        "cancel_rate", "divert_rate", "carrier_delay_per_flight",
+                        "weather_delay_per_flight", "nas_delay_per_flight",
+                        "security_delay_per_flight", "late_aircraft_delay_per_flight"]
+BASELINE_NUMERIC_REG = ["year", "month", "arr_flights", "delay_rate", "cancel_rate", "divert_rate",
+                        "carrier_delay_per_flight", "weather_delay_per_flight",
+                        "nas_delay_per_flight", "security_delay_per_flight",
+                        "late_aircraft_delay_per_flight"]
 # ---------------------------------------------------------------------------
 
 # Production feature set (26 columns, leaks the targets, kept for parity) and

@@ -23,3 +23,12 @@ def test_prefix_sum(spark):
     for r in out:
         expect = sum(i % 3 for i in range(r["o"]) if i % 2 == r["k"])
         assert r["cb"] == expect
+
+
+def test_approx_quantiles_close(spark):
+    from tarmac.operators.eda import quantiles
+    df = spark.range(0, 20001).select(F.lit("c").alias("k"), F.col("id").cast("double").alias("v"))
+    ex = {r["prob"]: r["quantile"] for r in quantiles(df, ["k"], "v", [0.25, 0.5], exact=True).collect()}
+    ap = {r["prob"]: r["quantile"] for r in quantiles(df, ["k"], "v", [0.25, 0.5], exact=False).collect()}
+    assert ex == {0.25: 5000.0, 0.5: 10000.0}
+    assert all(abs(ap[p] - ex[p]) <= 2 for p in ex)
