@@ -6,7 +6,8 @@ which runs in a single task. Here the work is split the way a sort is split:
 1. values are first collapsed to ``(key, value, weight)`` (map-side combine),
 2. range-partitioned on ``(key, value)`` so each task holds one contiguous slice,
 3. each slice's total per key is computed (rows: slices x keys, bounded),
-4. slice offsets are a running sum over that small table, broadcast back,
+4. slice offsets are a running sum over that small table, joined back
+   (AQE broadcasts it when its measured size is small),
 5. the running sum inside a slice is a window partitioned by the slice.
 
 No task ever holds more than one slice, whatever the skew of the key: a hot
@@ -37,15 +38,16 @@ def prefix_sum(df: DataFrame, keys: list[str], order_col: str, weight_col: str,
     w_off = (Window.partitionBy(*keys).orderBy("_slice")
              .rowsBetween(Window.unboundedPreceding, -1)) if keys else \
         Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    # totals has at most (slices x distinct keys) rows: bounded by the caller's
-    # key cardinality and the slice count, so broadcasting it is safe.
+    # offsets has (slices x distinct keys) rows. It is small for few keys but
+    # grows with the caller's key cardinality, so no broadcast hint: AQE
+    # broadcasts it at runtime from the measured size, else a shuffle join.
     offsets = totals.select(
         "_slice", *keys,
         F.coalesce(F.sum("_slice_total").over(w_off), F.lit(0)).alias("_offset"))
     w_local = (Window.partitionBy("_slice", *keys).orderBy(order_col)
                .rowsBetween(Window.unboundedPreceding, -1))
     local = sliced.withColumn("_local", F.coalesce(F.sum(weight_col).over(w_local), F.lit(0)))
-    return (local.join(F.broadcast(offsets), ["_slice", *keys])
+    return (local.join(offsets, ["_slice", *keys])
                  .withColumn(out_col, F.col("_offset") + F.col("_local"))
                  .drop("_slice", "_offset", "_local"))
 
@@ -64,7 +66,6 @@ def exact_quantiles(df: DataFrame, keys: list[str], value_col: str, probs: list[
     counts = vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_cnt"))
     cum = prefix_sum(counts, keys, "_v", "_cnt", "_before", n_slices)
     n_per_key = counts.groupBy(*keys).agg(F.sum("_cnt").alias("_n"))
-    # targets: keys x probs x {lo, hi}; bounded by key cardinality x len(probs)
     targets = (n_per_key
                .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
                .withColumn("_h", F.col("prob") * (F.col("_n") - 1))
@@ -78,7 +79,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value_col: str, probs: list[
         F.col("_rank") >= F.col("_before"),
         F.col("_rank") < F.col("_before") + F.col("_cnt"),
     ]
-    hit = cum.join(F.broadcast(targets), cond).select(*keys, "prob", "_frac", "_side", "_v")
+    # targets: keys x probs x 2 rows; joined without a hint for the same reason
+    hit = cum.join(targets, cond).select(*keys, "prob", "_frac", "_side", "_v")
     return (hit.groupBy(*keys, "prob", "_frac")
                .agg(F.max(F.when(F.col("_side") == "lo", F.col("_v"))).alias("_lo"),
                     F.max(F.when(F.col("_side") == "hi", F.col("_v"))).alias("_hi"))
