@@ -401,3 +401,14 @@ def q_stream_history(spark, sf):
                                        F.lit(None).cast("long").alias("arr_flights"),
                                        F.size("errors").cast("int").alias("n_errors"))
     return a.unionByName(r)
+
+
+@query("stream_history_scored")
+def q_stream_history_scored(spark, sf):
+    """T2 with scoring: accepted requests become prediction-history rows."""
+    b = bundle(spark, sf)
+    src = _land_requests(spark, sf)
+    acc, rej, ckpt = (scratch_path(spark, "history_sink"), scratch_path(spark, "rejected"),
+                      scratch_path(spark, "history_ckpt"))
+    ST.stream_accept_reject(spark, src, acc, rej, ckpt, b["clf"], b["reg"])
+    return spark.read.parquet(acc).select(*S.HISTORY_COLUMNS, "request_id")

@@ -32,11 +32,25 @@ def stream_score(spark: SparkSession, source_dir: str, clf: PipelineModel, reg:
     q.awaitTermination()
 
 
+def history_entries(valid: DataFrame, clf: PipelineModel, reg: PipelineModel) -> DataFrame:
+    """Scored requests as prediction-history rows (UTC processing time)."""
+    feats = SC.request_features(valid)
+    scored = SC.score(feats, clf, reg, ["request_id", "year", "month", "carrier", "airport",
+                                        "arr_flights", "arr_del15"])
+    return scored.select(F.current_timestamp().alias("timestamp"), "year", "month", "carrier", "airport",
+                         F.col("arr_flights").cast("long").alias("arr_flights"),
+                         F.col("arr_del15").cast("long").alias("arr_del15"),
+                         "high_delay_risk_proba", "high_delay_risk_label",
+                         F.col("avg_delay_pred").alias("avg_delay_per_flight"), "request_id")
+
+
 def stream_accept_reject(spark: SparkSession, source_dir: str, accepted_dir: str, rejected_dir: str,
-                         checkpoint_dir: str) -> None:
+                         checkpoint_dir: str, clf: PipelineModel | None = None,
+                         reg: PipelineModel | None = None) -> None:
     """Validated requests appended to the accepted sink, rejected ones
     (with their errors) to a second sink; one micro-batch feeds both writes
-    (persisted once, released after).
+    (persisted once, released after). With both models given, accepted
+    requests are scored and written as prediction-history entries.
 
     ``foreachBatch`` is at-least-once: a micro-batch re-run after a failure
     gets the same epoch id. Each epoch is therefore written as its own
@@ -53,7 +67,10 @@ def stream_accept_reject(spark: SparkSession, source_dir: str, accepted_dir: str
     def write_both(batch: DataFrame, epoch: int) -> None:
         batch.persist()
         try:
-            write_epoch(batch.where("valid").drop("errors", "valid"), accepted_dir, epoch)
+            ok = batch.where("valid").drop("errors", "valid")
+            if clf is not None and reg is not None:
+                ok = history_entries(ok, clf, reg)
+            write_epoch(ok, accepted_dir, epoch)
             write_epoch(batch.where("NOT valid").select("request_id", "errors"), rejected_dir, epoch)
         finally:
             batch.unpersist()
