@@ -128,7 +128,10 @@ def gbt(kind: str, params: dict) -> GBTClassifier | GBTRegressor:
               subsamplingRate=float(params.get("subsample", 1.0)),
               featureSubsetStrategy=str(float(params.get("colsample_bytree", 1.0))),
               minInstancesPerNode=int(params.get("min_child_weight", 1)),
-              minInfoGain=float(params.get("gamma", 0.0)) * 1e-3)
+              minInfoGain=float(params.get("gamma", 0.0)) * 1e-3,
+              # node ids cached per row (checkpointed every 10 trees into the
+              # shared checkpoint folder) instead of re-descending every tree
+              cacheNodeIds=True, checkpointInterval=10)
     if kind != "classifier":
         kw["lossType"] = "squared"
     return cls(**kw)

@@ -40,18 +40,41 @@ def _splits(spark, sf):
     return {s: df.where(F.col("split") == s).drop("split") for s in ("train", "val", "test")}
 
 
+class _Bundle:
+    """Per data directory, built lazily and kept for the session: split
+    tables, the train-fitted encoder with cached encoded splits (for search
+    and the baselines of the encoded space), and the two final models."""
+
+    def __init__(self, spark, sf):
+        self.spark, self.sf, self._cache = spark, sf, {}
+
+    def _get(self, key, build):
+        if key not in self._cache:
+            self._cache[key] = build()
+        return self._cache[key]
+
+    def __getitem__(self, key):
+        spark, sf = self.spark, self.sf
+        if key == "parts":
+            return self._get(key, lambda: _splits(spark, sf))
+        if key == "enc":
+            return self._get(key, lambda: MD.fit_encoder(self["parts"]["train"], FEATURES))
+        if key == "encoded":
+            return self._get(key, lambda: {s: self["enc"].transform(d).persist() for s, d in self["parts"].items()})
+        if key == "clf":
+            return self._get(key, lambda: MD.train_final(self["parts"]["train"], self["parts"]["val"], FEATURES,
+                                                         S.TARGET_CLASSIFICATION, "classifier", SMALL_GBT))
+        if key == "reg":
+            return self._get(key, lambda: MD.train_final(self["parts"]["train"], self["parts"]["val"], FEATURES,
+                                                         S.TARGET_REGRESSION, "regressor", SMALL_GBT))
+        raise KeyError(key)
+
+
 def bundle(spark, sf):
-    """Fitted encoder (train), encoded splits (cached) and final models."""
-    if sf in _BUNDLES:
-        return _BUNDLES[sf]
-    parts = _splits(spark, sf)
-    enc = MD.fit_encoder(parts["train"], FEATURES)
-    encoded = {s: enc.transform(d).persist() for s, d in parts.items()}
-    clf = MD.train_final(parts["train"], parts["val"], FEATURES, S.TARGET_CLASSIFICATION, "classifier", SMALL_GBT)
-    reg = MD.train_final(parts["train"], parts["val"], FEATURES, S.TARGET_REGRESSION, "regressor", SMALL_GBT)
-    b = {"parts": parts, "enc": enc, "encoded": encoded, "clf": clf, "reg": reg}
-    _BUNDLES[sf] = b
-    return b
+    k = (spark.sparkContext.applicationId, sf)
+    if k not in _BUNDLES:
+        _BUNDLES[k] = _Bundle(spark, sf)
+    return _BUNDLES[k]
 
 
 def _metrics_row(spark, name, metrics: dict):
