@@ -32,3 +32,19 @@ def test_approx_quantiles_close(spark):
     ap = {r["prob"]: r["quantile"] for r in quantiles(df, ["k"], "v", [0.25, 0.5], exact=False).collect()}
     assert ex == {0.25: 5000.0, 0.5: 10000.0}
     assert all(abs(ap[p] - ex[p]) <= 2 for p in ex)
+
+
+def test_binned_density_close_to_exact(spark):
+    import numpy as np
+    from tarmac.operators.eda import density_curve
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(float(v),) for v in rng.normal(size=3000)], "x double")
+    ex = {r["i"]: r["density"] for r in density_curve(df, ["x"], 50).collect()}
+    ap = {r["i"]: r["density"] for r in density_curve(df, ["x"], 50, exact=False, bins=4096).collect()}
+    assert max(abs(ex[i] - ap[i]) for i in ex) < 1e-3
+    # exact path equals a direct numpy evaluation
+    v = np.array([r["x"] for r in df.collect()])
+    bw = v.std(ddof=1) * len(v) ** -0.2
+    grid = np.linspace(v.min(), v.max(), 50)
+    ref = np.exp(-0.5 * ((grid[:, None] - v[None, :]) / bw) ** 2).sum(1) / (len(v) * bw * np.sqrt(2 * np.pi))
+    assert max(abs(ex[i] - ref[i]) for i in range(50)) < 1e-9
