@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tarmac import schema as S
 from tarmac.fixtures import oracle_with
 from tarmac.operators import clean as C

@@ -8,8 +8,6 @@ session so that the scoring/explain queries reuse them.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from tarmac import schema as S
@@ -19,7 +17,7 @@ from tarmac.operators import explain as H
 from tarmac.operators import models as MD
 from tarmac.operators import runs as R
 from tarmac.operators import score as SC
-from tarmac.plans.catalog import _rsel, load, query, r6
+from tarmac.plans.catalog import load, query, r6
 from tarmac.plans.q_split import _FWS_SQL, split_weather
 from tarmac.session import scratch_path
 from tarmac.sources import files as IO

@@ -10,7 +10,7 @@ from tarmac.operators import encode as EN
 from tarmac.operators import metrics as M
 from tarmac.operators import split as SP
 from tarmac.operators import weather as W
-from tarmac.plans.catalog import _rsel, query, r6
+from tarmac.plans.catalog import query, r6
 from tarmac.plans.q_flights import flights_eda, flights_features
 from tarmac.plans.q_weather import MONTHLY_SQL, _FW_SQL, flights_weather, monthly
 from tarmac.session import scratch_path

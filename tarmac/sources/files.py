@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarmac import schema as S
-from tarmac.operators.contract import require_columns
 from tarmac.session import path_exists
 
 # Texts read as missing, like the pandas CSV reader's default NA tokens.
