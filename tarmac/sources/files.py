@@ -115,7 +115,8 @@ def load_splits(spark: SparkSession, path: str, splits: tuple[str, ...] = ("trai
 
 def read_with_fallback(spark: SparkSession, paths: list[str], schema: T.StructType | None = None,
                        fmt: str = "parquet") -> DataFrame | None:
-    """The first path that exists, else None."""
+    """The first path that exists, else None; an existing but unreadable
+    source also gives None (the next candidate is not tried)."""
     for p in paths:
         if path_exists(spark, p):
             r = spark.read.format(fmt)
@@ -123,7 +124,10 @@ def read_with_fallback(spark: SparkSession, paths: list[str], schema: T.StructTy
                 r = r.schema(schema)
             if fmt == "csv":
                 r = r.option("header", True)
-            return r.load(p)
+            try:
+                return r.load(p)
+            except Exception:  # noqa: BLE001 - unreadable source behaves as absent
+                return None
     return None
 
 

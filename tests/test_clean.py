@@ -60,3 +60,10 @@ def test_risk_buckets(spark):
     assert [r["risk_level"] for r in out] == ["medium", "medium", "high", "low"]
     assert [r["risk_label"] for r in out] == [0, 1, 1, 0]
     assert out[1]["risk_percent"] == "50.0%"
+
+
+def test_null_year_raises(spark):
+    import pytest
+    df = _raw(spark, [_row(year=None)])
+    with pytest.raises(Exception, match="year is null"):
+        C.prepare_base(df).collect()

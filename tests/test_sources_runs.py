@@ -84,3 +84,9 @@ def test_fetch_plan_skips_landed_and_uncoded(spark):
     assert set(plan) == {("A1", 2021), ("A2", 2020)}
     assert plan[("A2", 2020)].endswith("latitude=11.0&longitude=-21.5&start_date=2020-01-01&end_date=2020-12-31"
                                        "&daily=temperature_2m_mean,precipitation_sum,windspeed_10m_max&timezone=UTC")
+
+
+def test_fallback_unreadable_is_none(spark):
+    p = scratch_path(spark, "t_bad")
+    spark.createDataFrame([("x",)], "v string").write.text(p)
+    assert IO.read_with_fallback(spark, [p]) is None      # text files are not Parquet
