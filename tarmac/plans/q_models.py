@@ -87,7 +87,15 @@ def q_feature_projection(spark, sf):
     return r6(C.feature_projection(split_weather(spark, sf), "reference"))
 
 
-@query("feature_names")
+_NAMES_SQL = " UNION ALL ".join(
+    [f"SELECT 0 AS grp, {i} AS ci, 'num__{c}' AS feature, '' AS v" for i, c in enumerate(S.numeric_part(FEATURES))]
+    + [f"SELECT DISTINCT 1 AS grp, {i} AS ci, 'cat__{c}_' || CAST({c} AS STRING) AS feature, CAST({c} AS STRING) AS v "
+       f"FROM s WHERE split = 'train'" for i, c in enumerate(S.categorical_part(FEATURES))])
+
+
+@query("feature_names", oracle_with(["flights_features", "weather_daily"], _FWS_SQL + f"""
+, names AS ({_NAMES_SQL})
+SELECT CAST(row_number() OVER (ORDER BY grp, ci, v) - 1 AS INT) AS position, feature FROM names"""))
 def q_feature_names(spark, sf):
     b = bundle(spark, sf)
     names = MD.encoded_names(b["enc"], FEATURES)
@@ -182,7 +190,8 @@ def q_train_final(spark, sf):
         "run_name", "status", F.explode("metrics").alias("metric", "value"))
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", oracle_with(["flights_features", "weather_daily"], _FWS_SQL + """
+SELECT count(*) AS rows, count(*) AS identical FROM s WHERE split = 'test'"""))
 def q_model_roundtrip(spark, sf):
     b = bundle(spark, sf)
     path = scratch_path(spark, "model_reg")
@@ -335,9 +344,12 @@ def _runs_wide(spark, sf):
     return R.runs_wide(R.runs_long(spark, root), RUN_METRICS, RUN_PARAMS, RUN_TAGS)
 
 
-@query("runs_from_files")
+@query("runs_from_files", oracle_with(["runs_fx"], """
+SELECT run_id, round(test_auc, 6) AS "metrics.test_auc", round(test_rmse, 6) AS "metrics.test_rmse",
+  model_type AS "params.model_type", run_name AS "tags.mlflow.runName", stage AS "tags.stage", task AS "tags.task"
+FROM runs_fx"""))
 def q_runs_from_files(spark, sf):
-    return _runs_wide(spark, sf)
+    return r6(_runs_wide(spark, sf))
 
 
 _DISPLAY_SQL = """SELECT run_id, run_name, round(test_auc, 6) AS test_auc, round(test_rmse, 6) AS test_rmse, task,
