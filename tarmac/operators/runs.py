@@ -118,9 +118,9 @@ def best_run(runs: DataFrame, metric: str, maximize: bool) -> DataFrame:
 def model_summary(runs: DataFrame) -> DataFrame:
     """Best classifier (max test_auc) and best regressor (min test_rmse)."""
     c = best_run(runs, "test_auc", True).select(
-        F.lit("classifier").alias("model"), "run_id", "run_name", F.lit("test_auc").alias("metric"),
-        F.col("test_auc").alias("value"))
+        F.lit("classifier").alias("model"), F.lit(f"classification ({S.TARGET_CLASSIFICATION})").alias("task"),
+        "run_id", "run_name", F.lit("test_auc").alias("metric"), F.col("test_auc").alias("value"))
     r = best_run(runs, "test_rmse", False).select(
-        F.lit("regressor").alias("model"), "run_id", "run_name", F.lit("test_rmse").alias("metric"),
-        F.col("test_rmse").alias("value"))
+        F.lit("regressor").alias("model"), F.lit(f"regression ({S.TARGET_REGRESSION}, lower is better)").alias("task"),
+        "run_id", "run_name", F.lit("test_rmse").alias("metric"), F.col("test_rmse").alias("value"))
     return c.unionByName(r)

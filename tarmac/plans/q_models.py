@@ -374,9 +374,10 @@ def q_best_runs(spark, sf):
 
 @query("model_summary", oracle_with(["runs_fx"], """
 , d AS (""" + _DISPLAY_SQL + """)
-SELECT * FROM (SELECT 'classifier' AS model, run_id, run_name, 'test_auc' AS metric, test_auc AS value FROM d
-  WHERE test_auc IS NOT NULL ORDER BY test_auc DESC, run_id LIMIT 1)
-UNION ALL SELECT * FROM (SELECT 'regressor' AS model, run_id, run_name, 'test_rmse' AS metric, test_rmse AS value FROM d
+SELECT * FROM (SELECT 'classifier' AS model, 'classification (high_delay_risk)' AS task, run_id, run_name,
+  'test_auc' AS metric, test_auc AS value FROM d WHERE test_auc IS NOT NULL ORDER BY test_auc DESC, run_id LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'regressor' AS model, 'regression (avg_delay_per_flight, lower is better)' AS task,
+  run_id, run_name, 'test_rmse' AS metric, test_rmse AS value FROM d
   WHERE test_rmse IS NOT NULL ORDER BY test_rmse, run_id LIMIT 1)"""))
 def q_model_summary(spark, sf):
     return r6(R.model_summary(R.runs_display(_runs_wide(spark, sf))))
