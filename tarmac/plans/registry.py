@@ -11,6 +11,7 @@ _MODULES = [
     "tarmac.plans.q_weather",
     "tarmac.plans.q_split",
     "tarmac.plans.q_models",
+    "tarmac.plans.q_flows",
 ]
 
 
