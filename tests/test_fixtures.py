@@ -26,5 +26,7 @@ def test_split_counts_match_documented(spark):
 
 def test_other_fixture_sizes(spark):
     assert fixture(spark, SF001, "airports_raw").count() == 30
-    assert fixture(spark, SF001, "weather_daily").count() == 14472
+    wd = fixture(spark, SF001, "weather_daily")
+    assert wd.count() == 15000                                   # every order kept
+    assert wd.where("airport = 'A22'").count() == 0              # A22 has no weather
     assert fixture(spark, SF001, "runs_fx").count() == 150
