@@ -45,6 +45,17 @@ def runs_wide(long: DataFrame, metrics: list[str], params: list[str], tags: list
     return wide.withColumns({f"metrics.{m}": F.col(f"`metrics.{m}`").cast("double") for m in metrics})
 
 
+def runs_table_wide(runs: DataFrame, metrics: list[str], params: list[str], tags: list[str]) -> DataFrame:
+    """The Parquet runs table (S16 layout: maps of params, metrics, tags) in
+    the same wide shape as the file store (``metrics.x``, ``params.x``,
+    ``tags.x``); the run name is also exposed as ``tags.mlflow.runName``."""
+    cols = [F.col("run_id")]
+    cols += [F.col("metrics")[m].alias(f"metrics.{m}") for m in metrics]
+    cols += [F.col("params")[p].alias(f"params.{p}") for p in params]
+    cols += [(F.col("run_name") if t == "mlflow.runName" else F.col("tags")[t]).alias(f"tags.{t}") for t in tags]
+    return runs.select(*cols)
+
+
 def write_run_files(df: DataFrame, root: str, metric_cols: list[str], param_cols: list[str],
                     tag_cols: list[str], millis: int = 0) -> None:
     """Lay a runs table out as a run store (one small file per value),

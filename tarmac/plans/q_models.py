@@ -358,7 +358,7 @@ _DISPLAY_SQL = """SELECT run_id, run_name, round(test_auc, 6) AS test_auc, round
 
 @query("runs_display", oracle_with(["runs_fx"], _DISPLAY_SQL))
 def q_runs_display(spark, sf):
-    return r6(R.runs_display(_runs_wide(spark, sf)))
+    return r6(R.runs_display(_table_wide(spark, sf)))
 
 
 @query("best_runs", oracle_with(["runs_fx"], """
@@ -366,7 +366,7 @@ def q_runs_display(spark, sf):
 SELECT * FROM (SELECT 'classifier' AS model, * FROM d WHERE test_auc IS NOT NULL ORDER BY test_auc DESC, run_id LIMIT 1)
 UNION ALL SELECT * FROM (SELECT 'regressor' AS model, * FROM d WHERE test_rmse IS NOT NULL ORDER BY test_rmse, run_id LIMIT 1)"""))
 def q_best_runs(spark, sf):
-    d = R.runs_display(_runs_wide(spark, sf))
+    d = R.runs_display(_table_wide(spark, sf))
     c = R.best_run(d, "test_auc", True).select(F.lit("classifier").alias("model"), *d.columns)
     r = R.best_run(d, "test_rmse", False).select(F.lit("regressor").alias("model"), *d.columns)
     return r6(c.unionByName(r))
@@ -380,15 +380,11 @@ UNION ALL SELECT * FROM (SELECT 'regressor' AS model, 'regression (avg_delay_per
   run_id, run_name, 'test_rmse' AS metric, test_rmse AS value FROM d
   WHERE test_rmse IS NOT NULL ORDER BY test_rmse, run_id LIMIT 1)"""))
 def q_model_summary(spark, sf):
-    return r6(R.model_summary(R.runs_display(_runs_wide(spark, sf))))
+    return r6(R.model_summary(R.runs_display(_table_wide(spark, sf))))
 
 
-@query("runs_append", oracle_with(["runs_fx"], """
-SELECT run_id, run_name, 'FINISHED' AS status, round(test_auc, 6) AS test_auc, round(test_rmse, 6) AS test_rmse
-FROM runs_fx"""))
-def q_runs_append(spark, sf):
-    """Every derived run appended as one row (a batch append of the same
-    table layout as the per-run helper)."""
+def _runs_table(spark, sf):
+    """Every derived run appended as one row of the Parquet runs table."""
     path = scratch_path(spark, "runs_tbl")
     fx = load(spark, sf, "runs_fx")
     metrics = F.map_filter(F.create_map(F.lit("test_auc"), F.col("test_auc"), F.lit("test_rmse"), F.col("test_rmse")),
@@ -399,7 +395,18 @@ def q_runs_append(spark, sf):
                      F.create_map(F.lit("stage"), F.col("stage"), F.lit("task"), F.col("task")).alias("tags"),
                      F.lit(None).cast("string").alias("model_path"))
     rows.write.mode("append").parquet(path)
-    back = spark.read.schema(S.RUNS).parquet(path)
+    return spark.read.schema(S.RUNS).parquet(path)
+
+
+def _table_wide(spark, sf):
+    return R.runs_table_wide(_runs_table(spark, sf), RUN_METRICS, RUN_PARAMS, RUN_TAGS)
+
+
+@query("runs_append", oracle_with(["runs_fx"], """
+SELECT run_id, run_name, 'FINISHED' AS status, round(test_auc, 6) AS test_auc, round(test_rmse, 6) AS test_rmse
+FROM runs_fx"""))
+def q_runs_append(spark, sf):
+    back = _runs_table(spark, sf)
     return r6(back.select("run_id", "run_name", "status", F.col("metrics")["test_auc"].alias("test_auc"),
                           F.col("metrics")["test_rmse"].alias("test_rmse")))
 
