@@ -178,14 +178,18 @@ def q_tune_regressor(spark, sf):
 
 @query("train_final")
 def q_train_final(spark, sf):
-    """Final fit on train+val, test metrics, run logged and model saved."""
+    """M7 for both models: final fit on train+val, test metrics, one logged
+    run per model (closed even on failure) and the model saved."""
     b = bundle(spark, sf)
-    runs_path, model_path = scratch_path(spark, "runs"), scratch_path(spark, "model_clf")
-    te = MD.with_label(b["parts"]["test"], S.TARGET_CLASSIFICATION)
-    with R.logged_run(spark, runs_path, "gbt_classifier_weather", SMALL_GBT) as run:
-        run.metrics = {f"test_{k}": v for k, v in MD.evaluate(b["clf"], te, "classifier").items()}
-        MD.save_model(b["clf"], model_path)
-        run.model_path = model_path
+    runs_path = scratch_path(spark, "runs")
+    for kind, target in (("classifier", S.TARGET_CLASSIFICATION), ("regressor", S.TARGET_REGRESSION)):
+        model_path = scratch_path(spark, f"model_{kind}")
+        te = MD.with_label(b["parts"]["test"], target)
+        with R.logged_run(spark, runs_path, f"gbt_{kind}_weather", SMALL_GBT) as run:
+            model = b["clf" if kind == "classifier" else "reg"]
+            run.metrics = {f"test_{k}": v for k, v in MD.evaluate(model, te, kind).items()}
+            MD.save_model(model, model_path)
+            run.model_path = model_path
     return spark.read.parquet(runs_path).select(
         "run_name", "status", F.explode("metrics").alias("metric", "value"))
 
