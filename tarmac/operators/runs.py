@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from tarmac import schema as S
 
-_PATH = r"/([^/]+)/(params|metrics|tags)/([^/]+)$"
+# <root>/<run>/<kind>/<name> (tracking-library layout) or, as written by
+# Spark's partitioned text writer, <root>/run_id=<run>/kind=<kind>/name=<name>/part-*
+_PATH = r"/(?:run_id=)?([^/]+)/(?:kind=)?(params|metrics|tags)/(?:name=)?([^/]+?)(?:/part-[^/]*)?$"
 
 
 def runs_long(spark: SparkSession, root: str) -> DataFrame:
@@ -58,25 +60,20 @@ def runs_table_wide(runs: DataFrame, metrics: list[str], params: list[str], tags
 
 def write_run_files(df: DataFrame, root: str, metric_cols: list[str], param_cols: list[str],
                     tag_cols: list[str], millis: int = 0) -> None:
-    """Lay a runs table out as a run store (one small file per value),
-    written by the executors (root must be a shared path)."""
+    """Lay a runs table out as a run store, one small text file per value
+    (metrics as ``millis value step`` lines), with Spark's partitioned text
+    writer so it works on any shared file system."""
     long_cols = ([("metrics", c) for c in metric_cols] + [("params", c) for c in param_cols]
                  + [("tags", c) for c in tag_cols])
     arr = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name"),
                              F.col(f"`{n}`").cast("string").alias("v")) for k, n in long_cols])
     long = (df.select("run_id", F.explode(arr).alias("e"))
               .select("run_id", "e.kind", "e.name", "e.v").where(F.col("v").isNotNull()))
-
-    def write_part(rows):
-        import os
-        for r in rows:
-            d = os.path.join(root, r["run_id"], r["kind"])
-            os.makedirs(d, exist_ok=True)
-            text = f"{millis} {r['v']} 0\n" if r["kind"] == "metrics" else r["v"]
-            with open(os.path.join(d, r["name"]), "w") as fh:
-                fh.write(text)
-
-    long.foreachPartition(write_part)
+    line = F.when(F.col("kind") == "metrics", F.concat_ws(" ", F.lit(str(millis)), F.col("v"), F.lit("0"))) \
+            .otherwise(F.col("v"))
+    (long.select("run_id", "kind", "name", line.alias("value"))
+         .repartition("run_id", "kind", "name")            # one file per value
+         .write.mode("overwrite").partitionBy("run_id", "kind", "name").text(root))
 
 
 def runs_append(spark: SparkSession, path: str, run_name: str, params: dict, metrics: dict,
