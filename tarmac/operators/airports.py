@@ -15,7 +15,11 @@ def airports_dim(raw: DataFrame, country: str = "US", order_col: str = "ordinal"
 
     Keep-first is ``min_by(struct, ordinal)`` per code: a partial aggregate
     (one row per code per task before the shuffle), no sort, no window.
+    Without an ordinal column, file order is used: ``monotonically_increasing_id``
+    grows with the file split and the row position inside it.
     """
+    if order_col not in raw.columns:
+        raw = raw.withColumn(order_col, F.monotonically_increasing_id())
     keep = [order_col] + S.AIRPORT_KEEP_COLUMNS
     df = (raw.where(F.col("iso_country") == country)
              .select(*keep)

@@ -59,3 +59,9 @@ def test_upsert_newest_wins(spark):
     new = spark.createDataFrame([("A", 2020, 2, 9.0)], "airport string, year int, month int, v double")
     got = {r["month"]: r["v"] for r in W.upsert_latest(old, new).collect()}
     assert got == {1: 1.0, 2: 9.0}
+
+
+def test_dim_without_ordinal_uses_file_order(spark):
+    raw = _airports(spark).orderBy("ordinal").drop("ordinal").coalesce(1)
+    d = {r["faa_code"]: r["ident"] for r in AP.airports_dim(raw).collect()}
+    assert d["AAA"] == "K1"
