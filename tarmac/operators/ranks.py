@@ -12,6 +12,13 @@ which runs in a single task. Here the work is split the way a sort is split:
 
 No task ever holds more than one slice, whatever the skew of the key: a hot
 key is spread over many slices by the range partitioner.
+
+The sliced table is written once with ``checkpoint()`` (shared checkpoint
+folder). Every later branch reads the same slice ids: without it, a branch
+whose range exchange is not reused would sample its own range bounds (the
+sample seed depends on the RDD), and on large inputs two branches could
+disagree on which slice a row belongs to. It also makes a lost executor
+cheap to recover from.
 """
 
 from __future__ import annotations
@@ -20,6 +27,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _sliced(df: DataFrame, keys: list[str], order_col: str, n: int) -> DataFrame:
+    """Range-partition on (keys, order) and pin the slice id (see module doc)."""
+    from tarmac.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return (df.repartitionByRange(n, *keys, order_col)
+              .withColumn("_slice", F.spark_partition_id())
+              .checkpoint(eager=True))
+
+
 def _n_slices(df: DataFrame, n: int | None) -> int:
     if n:
         return n
@@ -31,9 +47,7 @@ def prefix_sum(df: DataFrame, keys: list[str], order_col: str, weight_col: str,
     """Add ``out_col`` = sum of ``weight_col`` over rows of the same ``keys``
     with a smaller ``order_col`` (exclusive running sum). ``(keys, order_col)``
     must be unique (pre-aggregate first)."""
-    n = _n_slices(df, n_slices)
-    sliced = (df.repartitionByRange(n, *keys, order_col)
-                .withColumn("_slice", F.spark_partition_id()))
+    sliced = _sliced(df, keys, order_col, _n_slices(df, n_slices))
     totals = sliced.groupBy("_slice", *keys).agg(F.sum(weight_col).alias("_slice_total"))
     w_off = (Window.partitionBy(*keys).orderBy("_slice")
              .rowsBetween(Window.unboundedPreceding, -1)) if keys else \
@@ -57,30 +71,48 @@ def exact_quantiles(df: DataFrame, keys: list[str], value_col: str, probs: list[
     """Exact quantiles with linear interpolation (numpy/pandas default,
     DuckDB ``quantile_cont``, Spark ``percentile``) per key.
 
-    Returns ``(keys..., prob, quantile)``. Nulls are ignored. Memory per task
-    is bounded by one range slice, not by the size of a key.
+    Returns ``(keys..., prob, quantile)``. Nulls are ignored. Only the slices
+    that contain a target rank are ordered: slice totals (small) locate, for
+    every target rank, its slice and its rank inside the slice; then only the
+    rows of those slices go through the running-sum window. Memory per task
+    is bounded by one range slice, and the full table is shuffled once.
     """
     vals = df.where(F.col(value_col).isNotNull())
-    if value_col != "_v":
-        vals = vals.select(*keys, F.col(value_col).cast("double").alias("_v"))
+    vals = vals.select(*keys, F.col(value_col).cast("double").alias("_v"))
     counts = vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_cnt"))
-    cum = prefix_sum(counts, keys, "_v", "_cnt", "_before", n_slices)
-    n_per_key = counts.groupBy(*keys).agg(F.sum("_cnt").alias("_n"))
-    targets = (n_per_key
+    sliced = _sliced(counts, keys, "_v", _n_slices(counts, n_slices))
+    totals = sliced.groupBy("_slice", *keys).agg(F.sum("_cnt").alias("_slice_total"))
+    w_off = (Window.partitionBy(*keys).orderBy("_slice") if keys else Window.orderBy("_slice")) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    # (slices x keys) rows: offsets of each slice and the key's total count
+    offsets = totals.select("_slice", *keys, "_slice_total",
+                            F.coalesce(F.sum("_slice_total").over(w_off), F.lit(0)).alias("_offset"),
+                            F.sum("_slice_total").over(w_all).alias("_n"))
+    targets = (offsets.select(*keys, "_n").distinct()
                .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
                .withColumn("_h", F.col("prob") * (F.col("_n") - 1))
                .withColumn("_frac", F.col("_h") - F.floor("_h"))
                .withColumn("_side", F.explode(F.array(F.lit("lo"), F.lit("hi"))))
                .withColumn("_rank", F.when(F.col("_side") == "lo", F.floor("_h"))
-                           .otherwise(F.ceil("_h")).cast("long")))
-    targets = targets.select(*[F.col(k).alias(f"_t_{k}") for k in keys],
-                             "prob", "_frac", "_side", "_rank")
-    cond = [F.col(k) == F.col(f"_t_{k}") for k in keys] + [
-        F.col("_rank") >= F.col("_before"),
-        F.col("_rank") < F.col("_before") + F.col("_cnt"),
-    ]
-    # targets: keys x probs x 2 rows; joined without a hint for the same reason
-    hit = cum.join(targets, cond).select(*keys, "prob", "_frac", "_side", "_v")
+                           .otherwise(F.ceil("_h")).cast("long"))
+               .drop("_n"))
+    # the slice holding each target rank, and the rank inside that slice
+    located = (targets.join(offsets.drop("_n"), keys)
+                      .where((F.col("_rank") >= F.col("_offset"))
+                             & (F.col("_rank") < F.col("_offset") + F.col("_slice_total")))
+                      .select(*keys, "_slice", "prob", "_frac", "_side",
+                              (F.col("_rank") - F.col("_offset")).alias("_local_rank")))
+    # only rows of located slices are ordered (AQE sizes these joins at runtime)
+    wanted = located.select("_slice", *keys).distinct()
+    cand = sliced.join(wanted, ["_slice", *keys], "left_semi")
+    w_local = (Window.partitionBy("_slice", *keys).orderBy("_v")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    cand = cand.withColumn("_before", F.coalesce(F.sum("_cnt").over(w_local), F.lit(0)))
+    hit = (cand.join(located, ["_slice", *keys])
+               .where((F.col("_local_rank") >= F.col("_before"))
+                      & (F.col("_local_rank") < F.col("_before") + F.col("_cnt")))
+               .select(*keys, "prob", "_frac", "_side", "_v"))
     return (hit.groupBy(*keys, "prob", "_frac")
                .agg(F.max(F.when(F.col("_side") == "lo", F.col("_v"))).alias("_lo"),
                     F.max(F.when(F.col("_side") == "hi", F.col("_v"))).alias("_hi"))
