@@ -51,6 +51,3 @@ def percent_text(p, decimals: int = 1) -> Column:
     """``f"{p*100:.1f}%"`` as text."""
     return F.concat(F.format_string(f"%.{decimals}f", col(p) * 100), F.lit("%"))
 
-
-def round6(c) -> Column:
-    return F.round(col(c), 6)

@@ -83,11 +83,8 @@ def fetch_plan(flights: DataFrame, dim: DataFrame, landed: DataFrame | None = No
                      .where(F.col("lat").isNotNull() & F.col("lon").isNotNull()))
     if landed is not None:
         combos = combos.join(landed.select("airport", "year").distinct(), ["airport", "year"], "left_anti")
-    y = F.col("year").cast("string")
-    url = F.concat(F.lit(S.WEATHER_ARCHIVE_URL), F.lit("?latitude="), F.col("lat").cast("string"),
-                   F.lit("&longitude="), F.col("lon").cast("string"),
-                   F.lit("&start_date="), y, F.lit("-01-01&end_date="), y,
-                   F.lit("-12-31&daily="), F.lit(",".join(daily_vars)), F.lit("&timezone=UTC"))
+    url = F.format_string(S.WEATHER_URL_FORMAT, F.lit(S.WEATHER_ARCHIVE_URL), F.col("lat").cast("string"),
+                          F.col("lon").cast("string"), F.col("year"), F.col("year"), F.lit(",".join(daily_vars)))
     return combos.withColumn("url", url)
 
 

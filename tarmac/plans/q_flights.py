@@ -34,9 +34,6 @@ def q_clean_flights(spark, sf):
     return C.clean_flights(load(spark, sf, "flights_raw"), S.NUMERIC_COLUMNS)
 
 
-_FEAT_COLS = S.REQUIRED_COLUMNS + ["delay_rate", "avg_delay_per_flight", "high_delay_risk"]
-
-
 @query("mandatory_features", oracle_with(["flights_features"], f"""
 SELECT {", ".join(c for c in S.REQUIRED_COLUMNS)},
   round(delay_rate, 6) AS delay_rate, round(avg_delay_per_flight, 6) AS avg_delay_per_flight,

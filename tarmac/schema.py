@@ -43,8 +43,8 @@ LABEL_CUT = 0.5
 RISK_LOW_CUT, RISK_HIGH_CUT = 0.3, 0.7
 # Weather archive request.
 WEATHER_ARCHIVE_URL = "https://archive-api.open-meteo.com/v1/archive"
-WEATHER_URL_FORMAT = ("{base}?latitude={lat}&longitude={lon}&start_date={year}-01-01"
-                      "&end_date={year}-12-31&daily={daily}&timezone=UTC")
+# (base URL, latitude, longitude, year, year, daily variable list)
+WEATHER_URL_FORMAT = "%s?latitude=%s&longitude=%s&start_date=%d-01-01&end_date=%d-12-31&daily=%s&timezone=UTC"
 # Baseline models (strict-cleaned data with extended rates).
 BASELINE_CATEGORICAL = ["carrier", "carrier_name", "airport", "airport_name"]
 BASELINE_NUMERIC_CLF = ["year", "month", "arr_flights", "delay_rate", "avg_delay_per_flight",
