@@ -134,6 +134,85 @@ def shap_matrix(X: np.ndarray, trees: list) -> np.ndarray:
     return phi
 
 
+def compile_vectorised(trees: list, n_features: int) -> list | None:
+    """Per tree, leaves grouped by their number of distinct path features d:
+    (weight, [(d, feat[L,d], lo[L,d], hi[L,d], zero[L,d], value[L], onehot[d][L,p])]).
+    A leaf follows its path iff lo < x_f <= hi for each feature f on it.
+    Returns None when a tree has categorical splits (per-leaf path is used)."""
+    out = []
+    for weight, leaves in trees:
+        groups: dict[int, list] = {}
+        for value, path in leaves:
+            if not path:
+                continue
+            feats, lo, hi, zero = [], [], [], []
+            for feat, is_left, thr, ncat, ratio in path:
+                if ncat > 0:
+                    return None
+                if feat not in feats:
+                    feats.append(feat)
+                    lo.append(-np.inf)
+                    hi.append(np.inf)
+                    zero.append(1.0)
+                k = feats.index(feat)
+                if is_left:
+                    hi[k] = min(hi[k], thr[0])
+                else:
+                    lo[k] = max(lo[k], thr[0])
+                zero[k] *= ratio
+            groups.setdefault(len(feats), []).append((feats, lo, hi, zero, value))
+        compiled = []
+        for d, items in groups.items():
+            feat = np.array([it[0] for it in items], dtype=np.int64)
+            onehot = []
+            for j in range(d):
+                m = np.zeros((len(items), n_features))
+                m[np.arange(len(items)), feat[:, j]] = 1.0
+                onehot.append(m)
+            compiled.append((d, feat, np.array([it[1] for it in items]), np.array([it[2] for it in items]),
+                             np.array([it[3] for it in items]), np.array([it[4] for it in items]), onehot))
+        out.append((weight, compiled))
+    return out
+
+
+def shap_matrix_vectorised(X: np.ndarray, compiled: list, chunk: int = 256) -> np.ndarray:
+    """Same values as ``shap_matrix``; all leaves of equal path length are
+    processed together as (rows x leaves) arrays, rows in bounded chunks."""
+    n, p = X.shape
+    phi = np.zeros((n, p))
+    for r0 in range(0, n, chunk):
+        Xc = X[r0:r0 + chunk]
+        m = Xc.shape[0]
+        acc = np.zeros((m, p))
+        for weight, groups in compiled:
+            for d, feat, lo, hi, Z, V, onehot in groups:
+                xv = Xc[:, feat]                                   # m x L x d
+                O = ((xv > lo) & (xv <= hi)).astype(float)
+                pw = np.zeros((m, len(V), d + 1))
+                pw[:, :, 0] = 1.0
+                for l in range(1, d + 1):                          # EXTEND
+                    o, z = O[:, :, l - 1], Z[:, l - 1]
+                    for i in range(l - 1, -1, -1):
+                        pw[:, :, i + 1] += o * pw[:, :, i] * (i + 1) / (l + 1)
+                        pw[:, :, i] = z * pw[:, :, i] * (l - i) / (l + 1)
+                for j in range(1, d + 1):                          # UNWIND and credit
+                    one, zero = O[:, :, j - 1], Z[:, j - 1]
+                    one_safe = np.where(one != 0, one, 1.0)
+                    nxt = pw[:, :, d].copy()
+                    tot1 = np.zeros_like(one)
+                    for i in range(d - 1, -1, -1):
+                        tmp = nxt / ((i + 1) * one_safe)
+                        tot1 += tmp
+                        nxt = pw[:, :, i] - tmp * zero * (d - i)
+                    tot0 = np.zeros_like(one)
+                    for i in range(d - 1, -1, -1):
+                        tot0 += pw[:, :, i] / (zero * (d - i))
+                    wsum = np.where(one != 0, tot1, tot0) * (d + 1)
+                    acc += (weight * wsum * (one - zero) * V) @ onehot[j - 1]
+        phi[r0:r0 + chunk] = acc
+    return phi
+
+
 def shap_values(df: DataFrame, nodes: DataFrame, id_col: str = "row_id", features_col: str = "features",
                 scale: float = 1.0) -> tuple[DataFrame, float]:
     """H1: long-form attributions ``(row_id, feature_index, value)`` and the
@@ -141,15 +220,17 @@ def shap_values(df: DataFrame, nodes: DataFrame, id_col: str = "row_id", feature
     nodes_pdf = nodes.toPandas()      # trees x nodes: independent of the data size
     trees = _compile(nodes_pdf)
     base = expected_value(trees) * scale
-    sc = df.sparkSession.sparkContext.broadcast(trees)
+    n_features = len(df.select(features_col).first()[0]) if df.select(features_col).take(1) else 0
+    fast = compile_vectorised(trees, n_features) if n_features else None
+    sc = df.sparkSession.sparkContext.broadcast((trees, fast))
 
     def run(it):
-        tr = sc.value
+        tr, fv = sc.value
         for pdf in it:
             if pdf.empty:
                 continue
             X = np.vstack(pdf["x"].to_numpy())
-            phi = shap_matrix(X, tr) * scale
+            phi = (shap_matrix_vectorised(X, fv) if fv is not None else shap_matrix(X, tr)) * scale
             r, c = np.nonzero(phi)
             yield pd.DataFrame({id_col: pdf[id_col].to_numpy()[r], "feature_index": c.astype("int32"),
                                 "value": phi[r, c]})

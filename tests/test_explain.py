@@ -97,3 +97,14 @@ def test_importance_tables(spark):
     assert [r["feature"] for r in cmp] == ["x", "y", "z"]
     ov = H.overview(H.compare(a, b)).first()
     assert ov["clf_top_feature"] == "x" and ov["reg_top_feature"] == "y" and ov["consensus_features"] == 1
+
+
+def test_vectorised_equals_per_leaf(spark):
+    df, X = _data(spark, n=300, p=5, seed=3)
+    model = GBTRegressor(labelCol="target", maxIter=4, maxDepth=5, seed=2).fit(df)
+    path = scratch_path(spark, "gbt_vec")
+    model.write().overwrite().save(path)
+    trees = H._compile(H.tree_nodes(spark, path).toPandas())
+    slow = H.shap_matrix(X, trees)
+    fast = H.shap_matrix_vectorised(X, H.compile_vectorised(trees, X.shape[1]), chunk=64)
+    assert np.allclose(slow, fast, atol=1e-10)
