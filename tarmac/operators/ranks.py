@@ -4,21 +4,20 @@ Exact order statistics usually end in one ``Window.orderBy`` over all rows,
 which runs in a single task. Here the work is split the way a sort is split:
 
 1. values are first collapsed to ``(key, value, weight)`` (map-side combine),
-2. range-partitioned on ``(key, value)`` so each task holds one contiguous slice,
+2. cut into ``n`` ordered slices per key by approximate quantile boundaries,
 3. each slice's total per key is computed (rows: slices x keys, bounded),
 4. slice offsets are a running sum over that small table, joined back
    (AQE broadcasts it when its measured size is small),
 5. the running sum inside a slice is a window partitioned by the slice.
 
 No task ever holds more than one slice, whatever the skew of the key: a hot
-key is spread over many slices by the range partitioner.
-
-The sliced table is written once with ``checkpoint()`` (shared checkpoint
-folder). Every later branch reads the same slice ids: without it, a branch
-whose range exchange is not reused would sample its own range bounds (the
-sample seed depends on the RDD), and on large inputs two branches could
-disagree on which slice a row belongs to. It also makes a lost executor
-cheap to recover from.
+key is spread over many slices by its own boundaries.
+
+Slice ids are a deterministic function of the value (the number of
+per-key boundaries below it, boundaries computed once and held as a fixed
+table), never a partition id: every branch of the plan and every
+recomputation after a lost executor assigns the same slice, with no reliance
+on exchange reuse or on sampled range bounds.
 """
 
 from __future__ import annotations
@@ -27,13 +26,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Above this many keys the boundary table is not collected; the sliced
+# table is written to the shared folder instead.
+MAX_BOUND_KEYS = 2000
+
+
 def _sliced(df: DataFrame, keys: list[str], order_col: str, n: int) -> DataFrame:
-    """Range-partition on (keys, order) and pin the slice id (see module doc)."""
-    from tarmac.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return (df.repartitionByRange(n, *keys, order_col)
-              .withColumn("_slice", F.spark_partition_id())
-              .checkpoint(eager=True))
+    """Add a deterministic ``_slice`` in [0, n): per key, the number of
+    approximate n-quantile boundaries strictly below the value, so slices are
+    ordered ranges of similar size and a hot key spreads over many of them.
+
+    The boundaries (keys x (n-1) numbers) are computed once, collected and
+    joined back as a fixed local table, so every branch of the plan computes
+    the same slice ids, and so does any recomputation after a lost executor.
+    With more than ``MAX_BOUND_KEYS`` keys the range-partitioned table is
+    written to the shared checkpoint folder and read back instead.
+    """
+    spark = df.sparkSession
+    probs = [i / n for i in range(1, n)]
+    if not probs:
+        return df.withColumn("_slice", F.lit(0))
+    bounds = df.groupBy(*keys).agg(F.percentile_approx(order_col, probs, 10_000).alias("_b"))
+    rows = bounds.limit(MAX_BOUND_KEYS + 1).collect()
+    if not rows:
+        return df.withColumn("_slice", F.lit(0))
+    if len(rows) > MAX_BOUND_KEYS:
+        from tarmac.session import scratch_path
+        path = scratch_path(spark, "slices")
+        (df.repartitionByRange(n, *keys, order_col)
+           .withColumn("_slice", F.spark_partition_id())
+           .write.mode("overwrite").parquet(path))
+        return spark.read.parquet(path)
+    if keys:
+        # fixed data (same in every branch), at most MAX_BOUND_KEYS rows: broadcast is bounded
+        fixed = spark.createDataFrame(rows, bounds.schema).select(
+            *[F.col(k).alias(f"_bk_{k}") for k in keys], "_b")
+        cond = [df[k].eqNullSafe(fixed[f"_bk_{k}"]) for k in keys]
+        out = df.join(F.broadcast(fixed), cond).drop(*[f"_bk_{k}" for k in keys])
+    else:
+        out = df.withColumn("_b", F.lit(rows[0]["_b"]))
+    below = F.size(F.filter(F.col("_b"), lambda x: x < F.col(order_col)))
+    return out.withColumn("_slice", below.cast("int")).drop("_b")
 
 
 def _n_slices(df: DataFrame, n: int | None) -> int:

@@ -48,3 +48,16 @@ def test_binned_density_close_to_exact(spark):
     grid = np.linspace(v.min(), v.max(), 50)
     ref = np.exp(-0.5 * ((grid[:, None] - v[None, :]) / bw) ** 2).sum(1) / (len(v) * bw * np.sqrt(2 * np.pi))
     assert max(abs(ex[i] - ref[i]) for i in range(50)) < 1e-9
+
+
+def test_many_keys_fallback_path(spark, monkeypatch):
+    import tarmac.operators.ranks as RK
+    monkeypatch.setattr(RK, "MAX_BOUND_KEYS", 1)
+    rng = np.random.default_rng(2)
+    rows = [(str(k), float(v)) for k in range(4) for v in rng.integers(0, 30, 60)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {(r["k"], r["prob"]): r["quantile"] for r in RK.exact_quantiles(df, ["k"], "v", [0.3, 0.9], 3).collect()}
+    for k in map(str, range(4)):
+        vals = [v for kk, v in rows if kk == k]
+        for p in (0.3, 0.9):
+            assert abs(got[(k, p)] - np.quantile(vals, p)) < 1e-9
