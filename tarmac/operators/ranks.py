@@ -104,14 +104,17 @@ def exact_quantiles(df: DataFrame, keys: list[str], value_col: str, probs: list[
     """Exact quantiles with linear interpolation (numpy/pandas default,
     DuckDB ``quantile_cont``, Spark ``percentile``) per key.
 
-    Returns ``(keys..., prob, quantile)``. Nulls are ignored. Only the slices
+    Returns ``(keys..., prob, quantile)``. Null values and rows with a null
+    key are ignored (callers' keys are column names or class labels). Only the slices
     that contain a target rank are ordered: slice totals (small) locate, for
     every target rank, its slice and its rank inside the slice; then only the
     rows of those slices go through the running-sum window. Memory per task
     is bounded by one range slice, and the full table is shuffled once.
     """
-    vals = df.where(F.col(value_col).isNotNull())
-    vals = vals.select(*keys, F.col(value_col).cast("double").alias("_v"))
+    cond = F.col(value_col).isNotNull()
+    for k in keys:
+        cond = cond & F.col(k).isNotNull()
+    vals = df.where(cond).select(*keys, F.col(value_col).cast("double").alias("_v"))
     counts = vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_cnt"))
     sliced = _sliced(counts, keys, "_v", _n_slices(counts, n_slices))
     totals = sliced.groupBy("_slice", *keys).agg(F.sum("_cnt").alias("_slice_total"))
@@ -122,20 +125,19 @@ def exact_quantiles(df: DataFrame, keys: list[str], value_col: str, probs: list[
     offsets = totals.select("_slice", *keys, "_slice_total",
                             F.coalesce(F.sum("_slice_total").over(w_off), F.lit(0)).alias("_offset"),
                             F.sum("_slice_total").over(w_all).alias("_n"))
-    targets = (offsets.select(*keys, "_n").distinct()
+    # every (slice, key) row generates the target ranks of its key and keeps
+    # those falling inside it: slices x keys x probs x 2 rows, no join needed
+    located = (offsets
                .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
                .withColumn("_h", F.col("prob") * (F.col("_n") - 1))
                .withColumn("_frac", F.col("_h") - F.floor("_h"))
                .withColumn("_side", F.explode(F.array(F.lit("lo"), F.lit("hi"))))
                .withColumn("_rank", F.when(F.col("_side") == "lo", F.floor("_h"))
                            .otherwise(F.ceil("_h")).cast("long"))
-               .drop("_n"))
-    # the slice holding each target rank, and the rank inside that slice
-    located = (targets.join(offsets.drop("_n"), keys)
-                      .where((F.col("_rank") >= F.col("_offset"))
-                             & (F.col("_rank") < F.col("_offset") + F.col("_slice_total")))
-                      .select(*keys, "_slice", "prob", "_frac", "_side",
-                              (F.col("_rank") - F.col("_offset")).alias("_local_rank")))
+               .where((F.col("_rank") >= F.col("_offset"))
+                      & (F.col("_rank") < F.col("_offset") + F.col("_slice_total")))
+               .select(*keys, "_slice", "prob", "_frac", "_side",
+                       (F.col("_rank") - F.col("_offset")).alias("_local_rank")))
     # only rows of located slices are ordered (AQE sizes these joins at runtime)
     wanted = located.select("_slice", *keys).distinct()
     cand = sliced.join(wanted, ["_slice", *keys], "left_semi")

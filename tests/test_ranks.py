@@ -61,3 +61,12 @@ def test_many_keys_fallback_path(spark, monkeypatch):
         vals = [v for kk, v in rows if kk == k]
         for p in (0.3, 0.9):
             assert abs(got[(k, p)] - np.quantile(vals, p)) < 1e-9
+
+
+def test_global_quantiles_no_cartesian(spark):
+    from tarmac.operators.ranks import exact_quantiles
+    df = spark.range(0, 1001).select(F.col("id").cast("double").alias("v"))
+    q = exact_quantiles(df, [], "v", [0.1, 0.5])
+    assert {r["prob"]: r["quantile"] for r in q.collect()} == {0.1: 100.0, 0.5: 500.0}
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
