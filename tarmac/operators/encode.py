@@ -9,6 +9,9 @@
   null categories encode as all zeros; nothing else is dropped.
 * imputers: exact medians (distributed, see ``ranks``) and most frequent
   values (ties -> smallest).
+
+The saveable model encoder (these steps as MLlib stages, fitted together
+with a model) is ``models.fit_encoder`` / ``models.fit_baseline_encoder``.
 """
 
 from __future__ import annotations
@@ -16,11 +19,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac import schema as S
 from tarmac.operators.ranks import exact_quantiles
 
 
@@ -95,39 +97,6 @@ def feature_names(num_cols: list[str], model: PipelineModel, cat_cols: list[str]
     return [f"num__{c}" for c in num_cols] + [f"cat__{c}_{v}" for c in cat_cols for v in labels[c]]
 
 
-def encoder_pipeline(num_cols: list[str], cat_cols: list[str], scaled_suffix: str = "__z") -> list:
-    """MLlib stages assembling ``features`` from already-scaled numerics and
-    one-hot categories (the scaler is applied before, see ``encode``)."""
-    asm = VectorAssembler(inputCols=[c + scaled_suffix for c in num_cols] + [f"{c}__ohe" for c in cat_cols],
-                          outputCol="features", handleInvalid="keep")
-    return one_hot_stages(cat_cols) + [asm]
-
-
-@dataclass
-class Encoder:
-    """Fitted encoder: population scaler + one-hot + assembler."""
-    scaler: PopulationScalerModel
-    pipeline: PipelineModel
-    num_cols: list[str]
-    cat_cols: list[str]
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        df = _cast_categories(self.scaler.transform(df), self.cat_cols)
-        return self.pipeline.transform(df)
-
-    def names(self) -> list[str]:
-        labels = one_hot_labels(self.pipeline, self.cat_cols)
-        return [f"num__{c}" for c in self.num_cols] + [f"cat__{c}_{v}" for c in self.cat_cols for v in labels[c]]
-
-
-def fit_encoder(train: DataFrame, features: list[str]) -> Encoder:
-    num = S.numeric_part(features)
-    cat = S.categorical_part(features)
-    scaler = fit_population_scaler(train, num, "__z")
-    pipe = Pipeline(stages=encoder_pipeline(num, cat)).fit(_cast_categories(scaler.transform(train), cat))
-    return Encoder(scaler, pipe, num, cat)
-
-
 # --------------------------------------------------------------- imputers
 def median_fill_values(train: DataFrame, cols: list[str]) -> DataFrame:
     """Exact median per column, ``(column_name, value)``."""
