@@ -79,7 +79,7 @@ def prefix_sum(df: DataFrame, keys: list[str], order_col: str, weight_col: str,
                out_col: str = "cum_before", n_slices: int | None = None) -> DataFrame:
     """Add ``out_col`` = sum of ``weight_col`` over rows of the same ``keys``
     with a smaller ``order_col`` (exclusive running sum). ``(keys, order_col)``
-    must be unique (pre-aggregate first)."""
+    must be unique (pre-aggregate first) and keys non-null."""
     sliced = _sliced(df, keys, order_col, _n_slices(df, n_slices))
     totals = sliced.groupBy("_slice", *keys).agg(F.sum(weight_col).alias("_slice_total"))
     w_off = (Window.partitionBy(*keys).orderBy("_slice")

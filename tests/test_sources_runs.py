@@ -90,3 +90,13 @@ def test_fallback_unreadable_is_none(spark):
     p = scratch_path(spark, "t_bad")
     spark.createDataFrame([("x",)], "v string").write.text(p)
     assert IO.read_with_fallback(spark, [p]) is None      # text files are not Parquet
+
+
+def test_prepare_flow_checks_contract(spark):
+    from tarmac.operators.contract import MissingColumnsError
+    from tarmac.plans import flows
+    raw = _flights(spark).drop("nas_delay")
+    daily = spark.createDataFrame([], "airport string, year int, time string, temperature_2m_mean double, "
+                                      "precipitation_sum double, windspeed_10m_max double")
+    with pytest.raises(MissingColumnsError, match="nas_delay"):
+        flows.prepare_datasets(spark, raw, daily, scratch_path(spark, "t_prep"))
