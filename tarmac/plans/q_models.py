@@ -44,13 +44,28 @@ class _Bundle:
     and the baselines of the encoded space), and the two final models."""
 
     def __init__(self, spark, sf):
+        import threading
         self.spark, self.sf, self._cache = spark, sf, {}
+        self._locks: dict = {}
+        self._guard = threading.Lock()
 
     def _get(self, key, build):
-        if key not in self._cache:
-            self._cache[key] = build()
+        import threading
+        with self._guard:
+            lock = self._locks.setdefault(key, threading.Lock())
+        with lock:                          # one builder per component, others wait
+            if key not in self._cache:
+                self._cache[key] = build()
         return self._cache[key]
 
+    def models(self):
+        """Both final models, fitted concurrently (independent Spark jobs)."""
+        from concurrent.futures import ThreadPoolExecutor
+        self["parts"]
+        with ThreadPoolExecutor(max_workers=2) as ex:
+            clf, reg = ex.map(lambda k: self[k], ["clf", "reg"])
+        return clf, reg
+
     def __getitem__(self, key):
         spark, sf = self.spark, self.sf
         if key == "parts":
@@ -181,6 +196,7 @@ def q_train_final(spark, sf):
     """M7 for both models: final fit on train+val, test metrics, one logged
     run per model (closed even on failure) and the model saved."""
     b = bundle(spark, sf)
+    b.models()
     runs_path = scratch_path(spark, "runs")
     for kind, target in (("classifier", S.TARGET_CLASSIFICATION), ("regressor", S.TARGET_REGRESSION)):
         model_path = scratch_path(spark, f"model_{kind}")
