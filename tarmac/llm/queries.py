@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from tarmac.llm import exactdedup, langid, qualityrules
+from tarmac.llm import bpe, exactdedup, langid, mixing, qualityrules
 from tarmac.llm.common import read_table
 
+# The vocabulary file's place; it is read on the driver only.
+TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+
 
 def op1_language_id(spark, sf_dir):
     return langid.identify(read_table(spark, sf_dir, "documents"))
@@ -18,5 +21,14 @@ def op5_quality_rules(spark, sf_dir):
     return qualityrules.judge(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_exact_dedup, op5_quality_rules)}
+def op7_source_mixing(spark, sf_dir):
+    return mixing.digest(read_table(spark, sf_dir, "documents"))
+
+
+def op8_bpe(spark, sf_dir):
+    return bpe.digest(read_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op4_exact_dedup, op5_quality_rules, op7_source_mixing, op8_bpe)}
 ORACLE = {"op4_exact_dedup": exactdedup.ORACLE, "op5_quality_rules": qualityrules.ORACLE}
