@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarmac.llm import bpe, exactdedup, langid, mixing, qualityrules
+from tarmac.llm import bpe, exactdedup, hostrep, langid, linededup, mixing, qualityrules
 from tarmac.llm.common import read_table
 
 # The vocabulary file's place; it is read on the driver only.
@@ -13,6 +13,10 @@ def op1_language_id(spark, sf_dir):
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op3_host_reputation(spark, sf_dir):
+    return hostrep.judge(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exactdedup.dedup_exact(read_table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,10 @@ def op8_bpe(spark, sf_dir):
     return bpe.digest(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op10_line_dedup(spark, sf_dir):
+    return linededup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op4_exact_dedup, op5_quality_rules, op7_source_mixing, op8_bpe)}
-ORACLE = {"op4_exact_dedup": exactdedup.ORACLE, "op5_quality_rules": qualityrules.ORACLE}
+    op1_language_id, op3_host_reputation, op4_exact_dedup, op5_quality_rules, op7_source_mixing, op8_bpe, op10_line_dedup)}
+ORACLE = {"op3_host_reputation": hostrep.ORACLE, "op4_exact_dedup": exactdedup.ORACLE, "op5_quality_rules": qualityrules.ORACLE}
