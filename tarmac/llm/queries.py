@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarmac.llm import bpe, exactdedup, hostrep, langid, linededup, mixing, qualityrules
+from tarmac.llm import bpe, exactdedup, hostrep, langid, linededup, minhash, mixing, qualityrules
 from tarmac.llm.common import read_table
 
 # The vocabulary file's place; it is read on the driver only.
@@ -25,6 +25,10 @@ def op5_quality_rules(spark, sf_dir):
     return qualityrules.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark, sf_dir):
     return mixing.digest(read_table(spark, sf_dir, "documents"))
 
@@ -38,5 +42,6 @@ def op10_line_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op3_host_reputation, op4_exact_dedup, op5_quality_rules, op7_source_mixing, op8_bpe, op10_line_dedup)}
-ORACLE = {"op3_host_reputation": hostrep.ORACLE, "op4_exact_dedup": exactdedup.ORACLE, "op5_quality_rules": qualityrules.ORACLE}
+    op1_language_id, op3_host_reputation, op4_exact_dedup, op5_quality_rules, op6_minhash_near_dedup, op7_source_mixing, op8_bpe, op10_line_dedup)}
+ORACLE = {"op3_host_reputation": hostrep.ORACLE, "op4_exact_dedup": exactdedup.ORACLE, "op5_quality_rules": qualityrules.ORACLE,
+          "op6_minhash_near_dedup": minhash.ORACLE}
