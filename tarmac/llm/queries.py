@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarmac.llm import bpe, exactdedup, hostrep, langid, linededup, minhash, mixing, qualityrules
+from tarmac.llm import bpe, exactdedup, hostrep, kneser, langid, linededup, minhash, mixing, qualityrules
 from tarmac.llm.common import read_table
 
 # The vocabulary file's place; it is read on the driver only.
@@ -37,11 +37,15 @@ def op8_bpe(spark, sf_dir):
     return bpe.digest(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op9_kneser_ney(spark, sf_dir):
+    return kneser.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_line_dedup(spark, sf_dir):
     return linededup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op3_host_reputation, op4_exact_dedup, op5_quality_rules, op6_minhash_near_dedup, op7_source_mixing, op8_bpe, op10_line_dedup)}
+    op1_language_id, op3_host_reputation, op4_exact_dedup, op5_quality_rules, op6_minhash_near_dedup, op7_source_mixing, op8_bpe, op9_kneser_ney, op10_line_dedup)}
 ORACLE = {"op3_host_reputation": hostrep.ORACLE, "op4_exact_dedup": exactdedup.ORACLE, "op5_quality_rules": qualityrules.ORACLE,
           "op6_minhash_near_dedup": minhash.ORACLE}
