@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarmac.llm import bpe, exactdedup, hostrep, kneser, langid, linededup, minhash, mixing, qualityrules
+from tarmac.llm import bpe, exactdedup, hostrep, kneser, langid, linededup, minhash, mixing, qualityrules, toolcalls
 from tarmac.llm.common import read_table
 
 # The vocabulary file's place; it is read on the driver only.
@@ -13,6 +13,10 @@ def op1_language_id(spark, sf_dir):
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op2_tool_calls(spark, sf_dir):
+    return toolcalls.digest(read_table(spark, sf_dir, "conversations"))
+
+
 def op3_host_reputation(spark, sf_dir):
     return hostrep.judge(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,6 @@ def op10_line_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op3_host_reputation, op4_exact_dedup, op5_quality_rules, op6_minhash_near_dedup, op7_source_mixing, op8_bpe, op9_kneser_ney, op10_line_dedup)}
-ORACLE = {"op3_host_reputation": hostrep.ORACLE, "op4_exact_dedup": exactdedup.ORACLE, "op5_quality_rules": qualityrules.ORACLE,
+    op1_language_id, op2_tool_calls, op3_host_reputation, op4_exact_dedup, op5_quality_rules, op6_minhash_near_dedup, op7_source_mixing, op8_bpe, op9_kneser_ney, op10_line_dedup)}
+ORACLE = {"op2_tool_calls": toolcalls.ORACLE, "op3_host_reputation": hostrep.ORACLE, "op4_exact_dedup": exactdedup.ORACLE, "op5_quality_rules": qualityrules.ORACLE,
           "op6_minhash_near_dedup": minhash.ORACLE}
