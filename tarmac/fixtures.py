@@ -124,7 +124,7 @@ FROM events
 
 VIEWS["score_requests"] = ("""
 SELECT event_id AS request_id,
-  CAST(1970 + event_id % 140 AS BIGINT) AS year,
+  CAST(CASE WHEN event_id % 173 = 0 THEN 99999999999 ELSE 1970 + event_id % 140 END AS BIGINT) AS year,
   CAST(event_id % 14 AS BIGINT) AS month,
   CASE WHEN event_id % 211 = 0 THEN NULL ELSE concat('C', CAST(user_id % 5 AS STRING)) END AS carrier,
   concat('Carrier ', CAST(user_id % 5 AS STRING)) AS carrier_name,
@@ -132,6 +132,8 @@ SELECT event_id AS request_id,
   concat('Airport ', CAST(event_id % 25 AS STRING)) AS airport_name,
   CASE WHEN event_id % 50 = 0 THEN CAST(NULL AS DOUBLE)
        WHEN event_id % 37 = 0 THEN CAST(-5 AS DOUBLE)
+       WHEN event_id % 179 = 0 THEN CAST('Infinity' AS DOUBLE)
+       WHEN event_id % 181 = 0 THEN CAST(1e300 AS DOUBLE)
        ELSE CAST(10 + event_id % 300 AS DOUBLE) + 0.5 END AS arr_flights,
   CAST(CASE WHEN event_id % 41 = 0 THEN -1 ELSE event_id % 97 END AS DOUBLE) + 0.5 AS arr_del15,
   CAST(event_id % 7 AS DOUBLE) + 0.5 AS carrier_ct,
@@ -172,8 +174,8 @@ FROM lineitem GROUP BY l_suppkey
 
 VIEWS["importance_b"] = ("""
 SELECT concat('num__supp_', CAST(l_suppkey AS STRING)) AS feature,
-  CAST(sum(l_linenumber) AS DOUBLE) AS importance
-FROM lineitem WHERE l_discount > 0.05 GROUP BY l_suppkey
+  CAST(sum(CASE WHEN l_returnflag = 'R' THEN l_linenumber ELSE 0 END) AS DOUBLE) AS importance
+FROM lineitem GROUP BY l_suppkey
 """, [])
 
 VIEWS["attributions"] = ("""

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac import schema as S
-from tarmac.functions.sizing import bounded_broadcast
 
 
 def airports_dim(raw: DataFrame, country: str = "US", order_col: str = "ordinal") -> DataFrame:
@@ -15,11 +15,12 @@ def airports_dim(raw: DataFrame, country: str = "US", order_col: str = "ordinal"
 
     Keep-first is ``min_by(struct, ordinal)`` per code: a partial aggregate
     (one row per code per task before the shuffle), no sort, no window.
-    Without an ordinal column, file order is used: ``monotonically_increasing_id``
-    grows with the file split and the row position inside it.
+    Without an ordinal column, file order is used: file path, block start,
+    then the position inside the block (Spark numbers splits by size, not by
+    name). A table that isn't read from files keeps its partition order.
     """
     if order_col not in raw.columns:
-        raw = raw.withColumn(order_col, F.monotonically_increasing_id())
+        raw = raw.withColumn(order_col, file_order(raw))
     keep = [order_col] + S.AIRPORT_KEEP_COLUMNS
     df = (raw.where(F.col("iso_country") == country)
              .select(*keep)
@@ -31,6 +32,16 @@ def airports_dim(raw: DataFrame, country: str = "US", order_col: str = "ordinal"
     return first.select(*[F.col(f"r.{c}").alias(c) for c in cols], "faa_code")
 
 
+def file_order(raw: DataFrame):
+    """Struct that orders rows as their files do."""
+    row = F.monotonically_increasing_id()
+    try:
+        raw.select("_metadata.file_path")
+    except AnalysisException:
+        return row
+    return F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), row.alias("row"))
+
+
 def airport_coords(dim: DataFrame) -> DataFrame:
     """``(faa_code, lat, lon)`` projection of the dimension."""
     return dim.select("faa_code", F.col("latitude_deg").alias("lat"), F.col("longitude_deg").alias("lon"))
@@ -38,7 +49,7 @@ def airport_coords(dim: DataFrame) -> DataFrame:
 
 def airport_lookup(codes: DataFrame, dim: DataFrame, code_col: str = "airport") -> DataFrame:
     """Coordinates for many codes at once; unknown codes get nulls."""
-    coords = bounded_broadcast(airport_coords(dim))
+    coords = airport_coords(dim)
     return codes.join(coords, codes[code_col] == coords["faa_code"], "left").drop("faa_code")
 
 
@@ -89,8 +100,8 @@ AIRPORT_PRESETS = [
 
 
 def preset_names(records: DataFrame, carriers: DataFrame, airports: DataFrame) -> DataFrame:
-    """Attach display names to carrier and airport codes by broadcast joins
-    to the (small, size-checked) name dimensions; unknown codes -> null."""
-    c = bounded_broadcast(carriers.select(F.col("code").alias("carrier"), F.col("name").alias("carrier_display")))
-    a = bounded_broadcast(airports.select(F.col("code").alias("airport"), F.col("name").alias("airport_display")))
+    """Attach display names to carrier and airport codes; unknown codes ->
+    null. AQE broadcasts the name dimensions from their measured sizes."""
+    c = carriers.select(F.col("code").alias("carrier"), F.col("name").alias("carrier_display"))
+    a = airports.select(F.col("code").alias("airport"), F.col("name").alias("airport_display"))
     return records.join(c, "carrier", "left").join(a, "airport", "left")

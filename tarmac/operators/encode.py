@@ -1,8 +1,8 @@
 """Feature encoding, fit on train and applied anywhere.
 
-* ``PopulationScaler``: centring and scaling with the *population* std (the
+* ``scaler_stage``: centring and scaling with the *population* std (the
   analysed pipeline's scaler); MLlib's ``StandardScaler`` uses the sample std
-  and does not centre by default. Fitting is one aggregate pass; the model is
+  and does not centre by default. Fitting is one aggregate pass; the stage is
   two numbers per column.
 * one-hot: MLlib ``StringIndexer`` (alphabetical, ``keep``) + ``OneHotEncoder``
   (``dropLast``): the kept "unknown" slot is the dropped one, so unseen and
@@ -10,91 +10,63 @@
 * imputers: exact medians (distributed, see ``ranks``) and most frequent
   values (ties -> smallest).
 
-The saveable model encoder (these steps as MLlib stages, fitted together
-with a model) is ``models.fit_encoder`` / ``models.fit_baseline_encoder``.
+The saveable model encoder (these stages, fitted together with a model) is ``models.fit_encoder`` / ``models.fit_baseline_encoder``.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.operators.ranks import exact_quantiles
 
 
-@dataclass
-class PopulationScalerModel:
-    cols: list[str]
-    means: dict[str, float]
-    stds: dict[str, float]
-    suffix: str = ""
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = {}
-        for c in self.cols:
-            sd = self.stds[c]
-            scale = sd if sd and sd > 0 else 1.0   # zero variance: scale 1, like sklearn
-            out[c + self.suffix] = (F.col(c).cast("double") - F.lit(self.means[c])) / F.lit(scale)
-        return df.withColumns(out)
-
-
-def fit_population_scaler(train: DataFrame, cols: list[str], suffix: str = "") -> PopulationScalerModel:
-    row = train.agg(*[F.avg(F.col(c).cast("double")).alias(f"m_{i}") for i, c in enumerate(cols)],
-                    *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{i}") for i, c in enumerate(cols)]).first()
-    return PopulationScalerModel(cols, {c: row[f"m_{i}"] for i, c in enumerate(cols)},
-                                 {c: row[f"s_{i}"] for i, c in enumerate(cols)}, suffix)
-
-
-def one_hot_stages(cat_cols: list[str]) -> list:
-    """Indexer + encoder stages; categories sorted, unknown/null -> zeros."""
-    # one multi-column indexer: all category lists are found in one pass
-    idx = StringIndexer(inputCols=list(cat_cols), outputCols=[f"{c}__idx" for c in cat_cols],
+def scaler_stage(train: DataFrame, num_cols: list[str], suffix: str = "__z") -> SQLTransformer:
+    """Population-std scaler as a saveable stage (zero variance -> scale 1)."""
+    row = train.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(num_cols)],
+                    *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(num_cols)]).first()
+    exprs = []
+    for i, c in enumerate(num_cols):
+        m = row[f"m{i}"] or 0.0
+        s = row[f"s{i}"]
+        s = s if s and s > 0 else 1.0
+        exprs.append(f"(CAST(`{c}` AS DOUBLE) - ({m!r})) / ({s!r}) AS `{c}{suffix}`")
+    return SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")
+
+
+def one_hot_stages(cat_cols: list[str], suffix: str = "") -> list:
+    """Indexer + encoder stages on ``{column}{suffix}``; categories sorted,
+    unknown/null -> zeros. One multi-column indexer finds all category lists
+    in one pass."""
+    idx = StringIndexer(inputCols=[f"{c}{suffix}" for c in cat_cols], outputCols=[f"{c}__idx" for c in cat_cols],
                         stringOrderType="alphabetAsc", handleInvalid="keep")
     ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in cat_cols],
                         outputCols=[f"{c}__ohe" for c in cat_cols], dropLast=True, handleInvalid="keep")
     return [idx, ohe]
 
 
-def _cast_categories(df: DataFrame, cat_cols: list[str]) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("string") for c in cat_cols})
-
-
-def fit_one_hot(train: DataFrame, cat_cols: list[str]) -> PipelineModel:
-    return Pipeline(stages=one_hot_stages(cat_cols)).fit(_cast_categories(train, cat_cols))
-
-
-def one_hot_labels(model: PipelineModel, cat_cols: list[str]) -> dict[str, list[str]]:
+def one_hot_labels(model: PipelineModel) -> list[list[str]]:
     """Category labels per column, in index order (bounded by categories)."""
-    arr = model.stages[0].labelsArray
-    return {c: list(arr[i]) for i, c in enumerate(cat_cols)}
+    return [list(x) for s in model.stages if isinstance(s, StringIndexerModel) for x in s.labelsArray]
 
 
 def one_hot_long(model: PipelineModel, df: DataFrame, cat_cols: list[str], keys: list[str]) -> DataFrame:
     """Active one-hot features per row in long form ``(keys..., feature)``
-    with names ``cat__{column}_{category}``; unknown categories give no row."""
-    from pyspark.ml.functions import vector_to_array
-    enc = model.transform(_cast_categories(df, cat_cols))
-    labels = one_hot_labels(model, cat_cols)
-    names = df.sparkSession.createDataFrame(
-        [(c, i, f"cat__{c}_{v}") for c in cat_cols for i, v in enumerate(labels[c])],
-        "column_name string, pos int, feature string")
-    parts = [enc.select(*keys, F.lit(c).alias("column_name"),
-                        F.posexplode(vector_to_array(F.col(f"{c}__ohe"))).alias("pos", "on"))
-                .where(F.col("on") > 0) for c in cat_cols]
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    return long.join(F.broadcast(names), ["column_name", "pos"]).select(*keys, "feature")
-
-
-def feature_names(num_cols: list[str], model: PipelineModel, cat_cols: list[str]) -> list[str]:
-    """Encoded names in vector order: ``num__x`` then ``cat__col_value``."""
-    labels = one_hot_labels(model, cat_cols)
-    return [f"num__{c}" for c in num_cols] + [f"cat__{c}_{v}" for c in cat_cols for v in labels[c]]
+    with names ``cat__{column}_{category}``; unknown categories give no row.
+    The category number is the active slot, so one pass names it; no vector
+    is made dense."""
+    indexed = df
+    for s in model.stages:
+        indexed = s.transform(indexed)
+        if isinstance(s, StringIndexerModel):
+            break
+    names = [F.get(F.array(*[F.lit(f"cat__{c}_{v}") for v in values]), F.col(f"{c}__idx").cast("int"))
+             for c, values in zip(cat_cols, one_hot_labels(model))]
+    return indexed.select(*keys, F.explode(F.array_compact(F.array(*names))).alias("feature"))
 
 
 # --------------------------------------------------------------- imputers
@@ -114,6 +86,16 @@ def mode_fill_values(train: DataFrame, cols: list[str]) -> DataFrame:
                   .agg(F.min_by("v", F.struct((-F.col("n")).alias("nn"), F.col("v"))).alias("value")))
 
 
-def apply_fill(df: DataFrame, fills: dict) -> DataFrame:
-    """Fill nulls with fitted values (a dict of bounded size: one per column)."""
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fills.items() if v is not None})
+def fill_values(train: DataFrame, num_cols: list[str], cat_cols: list[str]) -> dict:
+    """Fitted fill value per column (one value a column reaches the driver)."""
+    rows = median_fill_values(train, num_cols).collect() + mode_fill_values(train, cat_cols).collect()
+    return {r["column_name"]: r["value"] for r in rows}
+
+
+def fill_stage(fills: dict, num_cols: list[str], cat_cols: list[str], suffix: str = "__f") -> SQLTransformer:
+    """Imputation as a saveable stage: ``{column}{suffix}`` with nulls filled."""
+    def one(c, kind, literal):
+        value = f"CAST(`{c}` AS {kind})"
+        return f"coalesce({value}, {literal(fills[c])}) AS `{c}{suffix}`" if fills.get(c) is not None else f"{value} AS `{c}{suffix}`"
+    exprs = [one(c, "DOUBLE", lambda v: repr(float(v))) for c in num_cols] + [one(c, "STRING", json.dumps) for c in cat_cols]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")

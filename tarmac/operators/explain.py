@@ -56,21 +56,20 @@ def _compile(nodes_pdf: pd.DataFrame) -> list:
     """Per tree: (weight, [(leaf_value, [(feature, is_left, thr_or_cats, ncat, ratio), ...]), ...])."""
     trees = []
     for tid, t in nodes_pdf.groupby("treeID"):
-        t = t.set_index("id")
+        node = {r.id: r for r in t.itertuples(index=False)}
         weight = float(t["tree_weight"].iloc[0])
         leaves = []
 
         def walk(nid, path):
-            r = t.loc[nid]
-            if r["left"] < 0:
-                leaves.append((float(r["prediction"]), list(path)))
+            r = node[nid]
+            if r.left < 0:
+                leaves.append((float(r.prediction), path))
                 return
-            for child, is_left in ((int(r["left"]), True), (int(r["right"]), False)):
-                ratio = float(t.loc[child, "cover"]) / float(r["cover"])
-                walk(child, path + [(int(r["feature"]), is_left, list(r["thr"]), int(r["ncat"]), ratio)])
+            for child, is_left in ((r.left, True), (r.right, False)):
+                ratio = float(node[child].cover) / float(r.cover)
+                walk(child, path + [(int(r.feature), is_left, list(r.thr), int(r.ncat), ratio)])
 
-        root = int(t.index.min())
-        walk(root, [])
+        walk(min(node), [])
         trees.append((weight, leaves))
     return trees
 
@@ -134,10 +133,14 @@ def shap_matrix(X: np.ndarray, trees: list) -> np.ndarray:
     return phi
 
 
-def compile_vectorised(trees: list, n_features: int) -> list | None:
+def compile_vectorised(trees: list) -> list | None:
     """Per tree, leaves grouped by their number of distinct path features d:
-    (weight, [(d, feat[L,d], lo[L,d], hi[L,d], zero[L,d], value[L], onehot[d][L,p])]).
+    (weight, [(d, feat[L,d], lo[L,d], hi[L,d], zero[L,d], value[L], sums)]).
     A leaf follows its path iff lo < x_f <= hi for each feature f on it.
+    ``sums`` says per path position how to add leaves up by feature: leaf
+    order, start of each feature's leaves, features. All is per leaf and path
+    position, whatever the number of features: under 200 MB for 326 trees of
+    depth 10.
     Returns None when a tree has categorical splits (per-leaf path is used)."""
     out = []
     for weight, leaves in trees:
@@ -164,13 +167,13 @@ def compile_vectorised(trees: list, n_features: int) -> list | None:
         compiled = []
         for d, items in groups.items():
             feat = np.array([it[0] for it in items], dtype=np.int64)
-            onehot = []
+            sums = []
             for j in range(d):
-                m = np.zeros((len(items), n_features))
-                m[np.arange(len(items)), feat[:, j]] = 1.0
-                onehot.append(m)
+                order = np.argsort(feat[:, j], kind="stable").astype(np.int32)
+                used, start = np.unique(feat[order, j], return_index=True)
+                sums.append((order, start, used))
             compiled.append((d, feat, np.array([it[1] for it in items]), np.array([it[2] for it in items]),
-                             np.array([it[3] for it in items]), np.array([it[4] for it in items]), onehot))
+                             np.array([it[3] for it in items]), np.array([it[4] for it in items]), sums))
         out.append((weight, compiled))
     return out
 
@@ -185,7 +188,7 @@ def shap_matrix_vectorised(X: np.ndarray, compiled: list, chunk: int = 256) -> n
         m = Xc.shape[0]
         acc = np.zeros((m, p))
         for weight, groups in compiled:
-            for d, feat, lo, hi, Z, V, onehot in groups:
+            for d, feat, lo, hi, Z, V, sums in groups:
                 xv = Xc[:, feat]                                   # m x L x d
                 O = ((xv > lo) & (xv <= hi)).astype(float)
                 pw = np.zeros((m, len(V), d + 1))
@@ -208,7 +211,8 @@ def shap_matrix_vectorised(X: np.ndarray, compiled: list, chunk: int = 256) -> n
                     for i in range(d - 1, -1, -1):
                         tot0 += pw[:, :, i] / (zero * (d - i))
                     wsum = np.where(one != 0, tot1, tot0) * (d + 1)
-                    acc += (weight * wsum * (one - zero) * V) @ onehot[j - 1]
+                    order, start, used = sums[j - 1]
+                    acc[:, used] += np.add.reduceat((weight * wsum * (one - zero) * V)[:, order], start, axis=1)
         phi[r0:r0 + chunk] = acc
     return phi
 
@@ -220,8 +224,7 @@ def shap_values(df: DataFrame, nodes: DataFrame, id_col: str = "row_id", feature
     nodes_pdf = nodes.toPandas()      # trees x nodes: independent of the data size
     trees = _compile(nodes_pdf)
     base = expected_value(trees) * scale
-    n_features = len(df.select(features_col).first()[0]) if df.select(features_col).take(1) else 0
-    fast = compile_vectorised(trees, n_features) if n_features else None
+    fast = compile_vectorised(trees)
     sc = df.sparkSession.sparkContext.broadcast((trees, fast))
 
     def run(it):
@@ -250,9 +253,11 @@ def margin(df: DataFrame, scale: float = 1.0, raw_col: str = "rawPrediction", pr
 
 # --------------------------------------------------------------- importance
 def mean_abs_importance(attr: DataFrame, id_col: str = "row_id", feature_col: str = "feature",
-                        value_col: str = "value") -> DataFrame:
-    """Mean |value| per feature over all rows (absent = 0)."""
-    n_rows = attr.select(F.countDistinct(id_col)).scalar()
+                        value_col: str = "value", n_rows: int | None = None) -> DataFrame:
+    """Mean |value| per feature over all rows (absent = 0). ``n_rows`` is
+    the number of explained rows, those without any attribution included;
+    without it the distinct ids of a landed attribution table are counted."""
+    n_rows = F.lit(n_rows) if n_rows is not None else attr.select(F.countDistinct(id_col)).scalar()
     return (attr.groupBy(feature_col).agg(F.sum(F.abs(value_col)).alias("_s"))
                 .select(F.col(feature_col).alias("feature"), (F.col("_s") / n_rows).alias("importance")))
 

@@ -24,7 +24,7 @@ def auc(df: DataFrame, label: str = "y", score: str = "p") -> DataFrame:
     tot = cum.agg(F.sum("_pos").alias("P"), F.sum("_neg").alias("N"),
                   F.sum(F.col("_pos") * (F.col("_neg_below") + 0.5 * F.col("_neg"))).alias("U"))
     return tot.select(F.when((F.col("P") > 0) & (F.col("N") > 0),
-                             F.col("U") / (F.col("P") * F.col("N"))).otherwise(F.lit(0.5)).alias("auc"))
+                             F.col("U") / (F.col("P").cast("double") * F.col("N"))).otherwise(F.lit(0.5)).alias("auc"))
 
 
 def classification_metrics(df: DataFrame, label: str = "y", score: str = "p", cut: float = 0.5) -> DataFrame:
@@ -38,7 +38,7 @@ def classification_metrics(df: DataFrame, label: str = "y", score: str = "p", cu
         F.sum(((yhat == 0) & (y == 0)).cast("long")).alias("tn"),
         F.sum(((yhat == 0) & (y == 1)).cast("long")).alias("fn"))
     return agg.select(
-        ((F.col("tp") + F.col("tn")) / F.col("n")).alias("accuracy"),
+        F.when(F.col("n") > 0, (F.col("tp") + F.col("tn")) / F.col("n")).alias("accuracy"),
         F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn")))
          .otherwise(F.lit(0.0)).alias("recall"),
         "tp", "fp", "tn", "fn")
@@ -49,5 +49,5 @@ def regression_metrics(df: DataFrame, label: str = "y_reg", pred: str = "yhat")
     e = F.col(pred) - F.col(label)
     agg = df.agg(F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("sse"), F.avg(F.abs(e)).alias("mae"),
                  F.var_pop(F.col(label)).alias("vp"))
-    return agg.select(F.sqrt(F.col("sse") / F.col("n")).alias("rmse"), "mae",
+    return agg.select(F.when(F.col("n") > 0, F.sqrt(F.col("sse") / F.col("n"))).alias("rmse"), "mae",
                       F.when(F.col("vp") > 0, 1 - F.col("sse") / (F.col("vp") * F.col("n"))).alias("r2"))

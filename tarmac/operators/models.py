@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
@@ -25,34 +25,18 @@ from pyspark.sql import functions as F
 
 from tarmac import schema as S
 from tarmac.operators import metrics as M
+from tarmac.operators.encode import fill_stage, fill_values, one_hot_labels, one_hot_stages, scaler_stage
 
 SEED = 42
 
 
 # --------------------------------------------------------------- encoder
-def scaler_stage(train: DataFrame, num_cols: list[str], suffix: str = "__z") -> SQLTransformer:
-    """Population-std scaler as a saveable stage (zero variance -> scale 1)."""
-    row = train.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(num_cols)],
-                    *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(num_cols)]).first()
-    exprs = []
-    for i, c in enumerate(num_cols):
-        m = row[f"m{i}"] or 0.0
-        s = row[f"s{i}"]
-        s = s if s and s > 0 else 1.0
-        exprs.append(f"(CAST(`{c}` AS DOUBLE) - ({m!r})) / ({s!r}) AS `{c}{suffix}`")
-    return SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")
-
-
 def encoder_stages(train: DataFrame, features: list[str]) -> list:
     num = S.numeric_part(features)
     cat = S.categorical_part(features)
-    idx = StringIndexer(inputCols=cat, outputCols=[f"{c}__idx" for c in cat],
-                        stringOrderType="alphabetAsc", handleInvalid="keep")
-    ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in cat], outputCols=[f"{c}__ohe" for c in cat],
-                        dropLast=True, handleInvalid="keep")
     asm = VectorAssembler(inputCols=[f"{c}__z" for c in num] + [f"{c}__ohe" for c in cat],
                           outputCol="features", handleInvalid="keep")
-    return [scaler_stage(train, num), idx, ohe, asm]
+    return [scaler_stage(train, num), *one_hot_stages(cat), asm]
 
 
 def baseline_encoder_stages(train: DataFrame, cat_cols: list[str], num_cols: list[str]) -> list:
@@ -60,23 +44,11 @@ def baseline_encoder_stages(train: DataFrame, cat_cols: list[str], num_cols: lis
     categories, exact median fill for numerics, population scaling, one-hot
     keeping every seen category. Fill values and scaler statistics are
     fitted on ``train`` (one value per column reaches the driver)."""
-    from tarmac.operators.encode import median_fill_values, mode_fill_values
-    med = {r["column_name"]: r["value"] for r in median_fill_values(train, num_cols).collect()}
-    mod = {r["column_name"]: r["value"] for r in mode_fill_values(train, cat_cols).collect()}
-    fills = [f"coalesce(CAST(`{c}` AS DOUBLE), {float(med[c])!r}) AS `{c}__f`" if med.get(c) is not None
-             else f"CAST(`{c}` AS DOUBLE) AS `{c}__f`" for c in num_cols]
-    fills += [f"coalesce(CAST(`{c}` AS STRING), {json.dumps(mod[c])}) AS `{c}__f`" if mod.get(c) is not None
-              else f"CAST(`{c}` AS STRING) AS `{c}__f`" for c in cat_cols]
-    impute = SQLTransformer(statement=f"SELECT *, {', '.join(fills)} FROM __THIS__")
-    imputed = impute.transform(train)
-    scale = scaler_stage(imputed, [f"{c}__f" for c in num_cols], "__z")
-    idx = StringIndexer(inputCols=[f"{c}__f" for c in cat_cols], outputCols=[f"{c}__idx" for c in cat_cols],
-                        stringOrderType="alphabetAsc", handleInvalid="keep")
-    ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in cat_cols], outputCols=[f"{c}__ohe" for c in cat_cols],
-                        dropLast=True, handleInvalid="keep")
+    impute = fill_stage(fill_values(train, num_cols, cat_cols), num_cols, cat_cols)
+    scale = scaler_stage(impute.transform(train), [f"{c}__f" for c in num_cols], "__z")
     asm = VectorAssembler(inputCols=[f"{c}__f__z" for c in num_cols] + [f"{c}__ohe" for c in cat_cols],
                           outputCol="features", handleInvalid="keep")
-    return [impute, scale, idx, ohe, asm]
+    return [impute, scale, *one_hot_stages(cat_cols, "__f"), asm]
 
 
 def fit_baseline_encoder(train: DataFrame, cat_cols: list[str], num_cols: list[str]) -> PipelineModel:
@@ -91,7 +63,7 @@ def encoded_names(encoder: PipelineModel, features: list[str]) -> list[str]:
     """``num__x`` then ``cat__col_value`` in vector order."""
     num = S.numeric_part(features)
     cat = S.categorical_part(features)
-    labels = encoder.stages[1].labelsArray
+    labels = one_hot_labels(encoder)
     return [f"num__{c}" for c in num] + [f"cat__{c}_{v}" for i, c in enumerate(cat) for v in labels[i]]
 
 
@@ -119,7 +91,11 @@ def linreg() -> LinearRegression:
 
 
 # Reference hyper-parameter names -> MLlib GBT parameters (see README).
-def gbt(kind: str, params: dict) -> GBTClassifier | GBTRegressor:
+def gbt(kind: str, params: dict, label_variance: float | None = None) -> GBTClassifier | GBTRegressor:
+    """``gamma`` is a loss reduction summed over a node's rows in units of the
+    loss; MLlib's gain is a mean variance reduction. It is therefore taken per
+    thousand rows and in units of the label's variance, so that the same draw
+    asks the same share of variance of both models."""
     cls = GBTClassifier if kind == "classifier" else GBTRegressor
     kw = dict(featuresCol="features", labelCol="label", seed=SEED,
               maxIter=int(params.get("n_estimators", 20)),
@@ -128,7 +104,7 @@ def gbt(kind: str, params: dict) -> GBTClassifier | GBTRegressor:
               subsamplingRate=float(params.get("subsample", 1.0)),
               featureSubsetStrategy=str(float(params.get("colsample_bytree", 1.0))),
               minInstancesPerNode=int(params.get("min_child_weight", 1)),
-              minInfoGain=float(params.get("gamma", 0.0)) * 1e-3,
+              minInfoGain=float(params.get("gamma", 0.0)) * 1e-3 * (1.0 if label_variance is None else label_variance),
               # node ids cached per row (checkpointed every 10 trees into the
               # shared checkpoint folder) instead of re-descending every tree
               cacheNodeIds=True, checkpointInterval=10)
@@ -145,10 +121,15 @@ def prob1(df: DataFrame, col: str = "probability") -> F.Column:
     return vector_to_array(F.col(col))[1]
 
 
+def label_variance(df: DataFrame) -> float:
+    return df.agg(F.var_pop("label")).first()[0] or 1.0
+
+
 # --------------------------------------------------------------- search
 @dataclass
 class SearchSpace:
-    """Bounds of the seeded random search (ints inclusive; log-uniform marked)."""
+    """Bounds of the seeded random search (ints inclusive; log-uniform marked).
+    Fixed values: names and bounds equal the analysed pipeline's."""
     ints: dict = field(default_factory=lambda: {"n_estimators": (200, 800), "max_depth": (3, 10),
                                                 "min_child_weight": (1, 10)})
     floats: dict = field(default_factory=lambda: {"learning_rate": (0.01, 0.3, True), "subsample": (0.5, 1.0, False),
@@ -188,12 +169,13 @@ def tune(train_enc: DataFrame, val_enc: DataFrame, kind: str, trials: list[dict]
     ``timeout_s`` no new trial starts after the deadline (running ones finish)."""
     import time
     deadline = time.monotonic() + timeout_s if timeout_s is not None else None
+    variance = label_variance(train_enc)
 
     def run(i_p):
         i, p = i_p
         if deadline is not None and time.monotonic() > deadline:
             return None
-        m = gbt(kind, p).fit(train_enc)
+        m = gbt(kind, p, variance).fit(train_enc)
         return {"trial": i, "params": p, **evaluate(m, val_enc, kind)}
 
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
@@ -215,11 +197,20 @@ def trials_frame(spark, results: list[dict], kind: str) -> DataFrame:
     return spark.createDataFrame(rows, f"trial int, params string, val_{metric} double")
 
 
+def same_encoder(a: PipelineModel, b: PipelineModel) -> bool:
+    """Whether two models' encoder stages are equal (statements of the SQL
+    stages, category lists, column names)."""
+    def of(m):
+        return [(type(s).__name__, s.getStatement() if isinstance(s, SQLTransformer) else
+                 [list(x) for x in s.labelsArray] if hasattr(s, "labelsArray") else s.getOrDefault(s.inputCols)) for s in m.stages[:-1]]
+    return of(a) == of(b)
+
+
 def train_final(train: DataFrame, val: DataFrame, features: list[str], target: str, kind: str,
                 params: dict) -> PipelineModel:
     """M7: encoder + GBT fitted on train+val, as one saveable PipelineModel."""
     full = with_label(train.unionByName(val), target)
-    stages = encoder_stages(full, features) + [gbt(kind, params)]
+    stages = encoder_stages(full, features) + [gbt(kind, params, label_variance(full))]
     return Pipeline(stages=stages).fit(full)
 
 

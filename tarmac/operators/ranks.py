@@ -4,7 +4,7 @@ Exact order statistics usually end in one ``Window.orderBy`` over all rows,
 which runs in a single task. Here the work is split the way a sort is split:
 
 1. values are first collapsed to ``(key, value, weight)`` (map-side combine),
-2. cut into ``n`` ordered slices per key by approximate quantile boundaries,
+2. cut into ordered ranges of (key, value), the slices,
 3. each slice's total per key is computed (rows: slices x keys, bounded),
 4. slice offsets are a running sum over that small table, joined back
    (AQE broadcasts it when its measured size is small),
@@ -13,11 +13,12 @@ which runs in a single task. Here the work is split the way a sort is split:
 No task ever holds more than one slice, whatever the skew of the key: a hot
 key is spread over many slices by its own boundaries.
 
-Slice ids are a deterministic function of the value (the number of
-per-key boundaries below it, boundaries computed once and held as a fixed
-table), never a partition id: every branch of the plan and every
-recomputation after a lost executor assigns the same slice, with no reliance
-on exchange reuse or on sampled range bounds.
+The rows are range-partitioned by (key, value) and written once to the shared
+folder together with their partition number, which is the slice id. Every
+branch of the plan and every recomputation after a lost executor reads the
+same table, so they agree; there is one algorithm for any number of rows, keys
+and shuffle partitions (AQE merges small slices before the write), and nothing
+is collected.
 """
 
 from __future__ import annotations
@@ -25,54 +26,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarmac.session import scratch_path
 
-# Above this many keys the boundary table is not collected; the sliced
-# table is written to the shared folder instead.
-MAX_BOUND_KEYS = 2000
 
-
-def _sliced(df: DataFrame, keys: list[str], order_col: str, n: int) -> DataFrame:
-    """Add a deterministic ``_slice`` in [0, n): per key, the number of
-    approximate n-quantile boundaries strictly below the value, so slices are
-    ordered ranges of similar size and a hot key spreads over many of them.
-
-    The boundaries (keys x (n-1) numbers) are computed once, collected and
-    joined back as a fixed local table, so every branch of the plan computes
-    the same slice ids, and so does any recomputation after a lost executor.
-    With more than ``MAX_BOUND_KEYS`` keys the range-partitioned table is
-    written to the shared checkpoint folder and read back instead.
-    """
-    spark = df.sparkSession
-    probs = [i / n for i in range(1, n)]
-    if not probs:
-        return df.withColumn("_slice", F.lit(0))
-    bounds = df.groupBy(*keys).agg(F.percentile_approx(order_col, probs, 10_000).alias("_b"))
-    rows = bounds.limit(MAX_BOUND_KEYS + 1).collect()
-    if not rows:
-        return df.withColumn("_slice", F.lit(0))
-    if len(rows) > MAX_BOUND_KEYS:
-        from tarmac.session import scratch_path
-        path = scratch_path(spark, "slices")
-        (df.repartitionByRange(n, *keys, order_col)
-           .withColumn("_slice", F.spark_partition_id())
-           .write.mode("overwrite").parquet(path))
-        return spark.read.parquet(path)
-    if keys:
-        # fixed data (same in every branch), at most MAX_BOUND_KEYS rows: broadcast is bounded
-        fixed = spark.createDataFrame(rows, bounds.schema).select(
-            *[F.col(k).alias(f"_bk_{k}") for k in keys], "_b")
-        cond = [df[k].eqNullSafe(fixed[f"_bk_{k}"]) for k in keys]
-        out = df.join(F.broadcast(fixed), cond).drop(*[f"_bk_{k}" for k in keys])
-    else:
-        out = df.withColumn("_b", F.lit(rows[0]["_b"]))
-    below = F.size(F.filter(F.col("_b"), lambda x: x < F.col(order_col)))
-    return out.withColumn("_slice", below.cast("int")).drop("_b")
-
-
-def _n_slices(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _sliced(df: DataFrame, keys: list[str], order_col: str, n: int | None) -> DataFrame:
+    """Add ``_slice``: the rows in contiguous ranges of (keys, value), ordered
+    by slice id inside a key. A hot key spreads over many slices. ``n`` fixes
+    the number of slices, else AQE sizes them."""
+    cols = [*keys, order_col]
+    ranged = df.repartitionByRange(n, *cols) if n else df.repartitionByRange(*cols)
+    path = scratch_path(df.sparkSession, "slices")
+    ranged.withColumn("_slice", F.spark_partition_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def prefix_sum(df: DataFrame, keys: list[str], order_col: str, weight_col: str,
@@ -80,7 +45,7 @@ def prefix_sum(df: DataFrame, keys: list[str], order_col: str, weight_col: str,
     """Add ``out_col`` = sum of ``weight_col`` over rows of the same ``keys``
     with a smaller ``order_col`` (exclusive running sum). ``(keys, order_col)``
     must be unique (pre-aggregate first) and keys non-null."""
-    sliced = _sliced(df, keys, order_col, _n_slices(df, n_slices))
+    sliced = _sliced(df, keys, order_col, n_slices)
     totals = sliced.groupBy("_slice", *keys).agg(F.sum(weight_col).alias("_slice_total"))
     w_off = (Window.partitionBy(*keys).orderBy("_slice")
              .rowsBetween(Window.unboundedPreceding, -1)) if keys else \
@@ -116,7 +81,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value_col: str, probs: list[
         cond = cond & F.col(k).isNotNull()
     vals = df.where(cond).select(*keys, F.col(value_col).cast("double").alias("_v"))
     counts = vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_cnt"))
-    sliced = _sliced(counts, keys, "_v", _n_slices(counts, n_slices))
+    sliced = _sliced(counts, keys, "_v", n_slices)
     totals = sliced.groupBy("_slice", *keys).agg(F.sum("_cnt").alias("_slice_total"))
     w_off = (Window.partitionBy(*keys).orderBy("_slice") if keys else Window.orderBy("_slice")) \
         .rowsBetween(Window.unboundedPreceding, -1)

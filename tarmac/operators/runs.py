@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac import schema as S
+from tarmac.session import glob_exists
 
 # <root>/<run>/<kind>/<name> (tracking-library layout) or, as written by
 # Spark's partitioned text writer, <root>/run_id=<run>/kind=<kind>/name=<name>/part-*
@@ -24,11 +25,14 @@ _PATH = r"/(?:run_id=)?([^/]+)/(?:kind=)?(params|metrics|tags)/(?:name=)?([^/]+?
 def runs_long(spark: SparkSession, root: str) -> DataFrame:
     """``(run_id, kind, name, value)`` for every file under ``root``; for
     metrics the value is the last logged value."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
-    # a run store is many tiny files: read ~32 per task instead of one or two
-    # (coalesce merges read partitions without a shuffle)
-    n_files = len(raw.inputFiles())
-    raw = raw.coalesce(max(1, n_files // 32)).select(F.col("_metadata.file_path").alias("path"), "value")
+    # only the three kinds right below a run folder are listed: model folders
+    # (models/<id>/params etc.) and artifacts are never opened
+    layouts = [f"{root}/*/{{params,metrics,tags}}/*", f"{root}/run_id=*/kind=*/name=*/part-*"]
+    found = [x for x in layouts if glob_exists(spark, x)]
+    raw = spark.read.option("wholetext", True).schema("value string").text(found) if found else None
+    if raw is None:
+        return spark.createDataFrame([], "run_id string, kind string, name string, value string")
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), "value")
     parts = raw.select(F.regexp_extract("path", _PATH, 1).alias("run_id"),
                        F.regexp_extract("path", _PATH, 2).alias("kind"),
                        F.regexp_extract("path", _PATH, 3).alias("name"),

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac import schema as S
-from tarmac.functions.sizing import bounded_broadcast
 from tarmac.operators.airports import airport_coords
 from tarmac.operators.contract import first_existing
 
@@ -76,7 +75,7 @@ def fetch_plan(flights: DataFrame, dim: DataFrame, landed: DataFrame | None = No
     One request per airport-year, not per month; combinations already landed
     are removed by an anti join; rows without coordinates cannot be fetched.
     """
-    coords = bounded_broadcast(airport_coords(dim))
+    coords = airport_coords(dim)
     combos = (flights.select("airport", "year").distinct()
                      .join(coords, F.col("airport") == F.col("faa_code"), "left")
                      .select("airport", "lat", "lon", "year")
@@ -116,7 +115,7 @@ def weather_map(weather: DataFrame, dim: DataFrame | None = None, metric: str =
     mcol = chosen[metric]
     df = weather
     if ("lat" not in df.columns or "lon" not in df.columns) and dim is not None:
-        df = df.join(bounded_broadcast(airport_coords(dim)).withColumnRenamed("faa_code", "airport"),
+        df = df.join(airport_coords(dim).withColumnRenamed("faa_code", "airport"),
                      "airport", "left")
     if "lat" not in df.columns or "lon" not in df.columns:
         raise ValueError("lat/lon missing even after the airport join")

@@ -84,7 +84,7 @@ def explain_report(spark: SparkSession, models_dir: str, rows: DataFrame, out_di
         attr, _ = H.shap_values(model.transform(rows), H.tree_nodes(spark, gpath), id_col, "features", scale)
         names = spark.createDataFrame(list(enumerate(MD.encoded_names(model, features))),
                                       "feature_index int, feature string")
-        imp = H.mean_abs_importance(attr.join(F.broadcast(names), "feature_index"), id_col, "feature", "value")
+        imp = H.mean_abs_importance(attr.join(F.broadcast(names), "feature_index"), id_col, "feature", "value", rows.count())
         top = H.top_k(imp, k)
         IO.write_csv(top, f"{out_dir}/top{k}_{kind}")
         tops[kind] = spark.read.schema("feature string, importance double").option("header", True) \

@@ -228,12 +228,14 @@ def q_model_roundtrip(spark, sf):
 _VALID_SQL = f"""
 SELECT request_id,
   CASE WHEN year IS NULL OR year < 1980 OR year > 2100 OR month IS NULL OR month < 1 OR month > 12
-    OR carrier IS NULL OR carrier_name IS NULL OR airport IS NULL OR airport_name IS NULL THEN 0 ELSE 1 END AS valid,
+    OR carrier IS NULL OR carrier_name IS NULL OR airport IS NULL OR airport_name IS NULL OR abs(arr_flights) >= 9223372036854775808.0
+    THEN 0 ELSE 1 END AS valid,
   (CASE WHEN year IS NULL OR year < 1980 OR year > 2100 THEN 1 ELSE 0 END
    + CASE WHEN month IS NULL OR month < 1 OR month > 12 THEN 1 ELSE 0 END
    + CASE WHEN carrier IS NULL THEN 1 ELSE 0 END + CASE WHEN carrier_name IS NULL THEN 1 ELSE 0 END
-   + CASE WHEN airport IS NULL THEN 1 ELSE 0 END + CASE WHEN airport_name IS NULL THEN 1 ELSE 0 END) AS n_errors,
-  {", ".join(f"CAST(CASE WHEN {c} IS NULL OR {c} < 0 THEN 0 ELSE trunc({c}) END AS BIGINT) AS {c}" for c in S.COUNT_COLUMNS)},
+   + CASE WHEN airport IS NULL THEN 1 ELSE 0 END + CASE WHEN airport_name IS NULL THEN 1 ELSE 0 END
+   + CASE WHEN abs(arr_flights) >= 9223372036854775808.0 THEN 1 ELSE 0 END) AS n_errors,
+  {", ".join(f"CAST(CASE WHEN {c} IS NULL OR {c} < 0 OR {c} >= 9223372036854775808.0 THEN 0 ELSE trunc({c}) END AS BIGINT) AS {c}" for c in S.COUNT_COLUMNS)},
   {", ".join(f"round(CASE WHEN {c} IS NULL OR {c} < 0 THEN 0.0 ELSE {c} END, 6) AS {c}" for c in S.DELAY_COLUMNS)},
   {", ".join(f"round(coalesce({c}, 0.0), 6) AS {c}" for c in S.WEATHER_COLUMNS)}
 FROM score_requests"""
@@ -263,37 +265,41 @@ def q_score_batch_risk(spark, sf):
 
 
 # ---------------------------------------------------------------- attributions
-def _shap(spark, sf, kind="classifier"):
+def _trees(spark, sf, kind):
+    """The model, its node table and its feature names."""
     b = bundle(spark, sf)
     model = b["clf"] if kind == "classifier" else b["reg"]
     gpath = scratch_path(spark, f"gbt_{kind}")
     model.stages[-1].write().overwrite().save(gpath)
-    nodes = H.tree_nodes(spark, gpath)
-    enc = model.transform(b["parts"]["train"])
-    scale = 2.0 if kind == "classifier" else 1.0
-    attr, base = H.shap_values(enc, nodes, "row_id", "features", scale)
     names = spark.createDataFrame(list(enumerate(MD.encoded_names(model, FEATURES))), "feature_index int, feature string")
-    return attr.join(F.broadcast(names), "feature_index"), base, enc, nodes, names
+    return model, H.tree_nodes(spark, gpath), names
+
+
+def _shap(spark, sf, kind="classifier", rows=None):
+    """Attributions of the training rows, or of ``rows`` of them."""
+    model, nodes, names = _trees(spark, sf, kind)
+    rows = bundle(spark, sf)["parts"]["train"] if rows is None else rows
+    attr, base = H.shap_values(model.transform(rows), nodes, "row_id", "features", 2.0 if kind == "classifier" else 1.0)
+    return attr.join(F.broadcast(names), "feature_index"), base
 
 
 @query("shap_values")
 def q_shap_values(spark, sf):
-    attr, base, _, _, _ = _shap(spark, sf, "classifier")
+    attr, base = _shap(spark, sf, "classifier")
     return attr.select("row_id", "feature", "value", F.lit(base).alias("base_value"))
 
 
 @query("explain_one")
 def q_explain_one(spark, sf):
-    attr, base, enc, _, _ = _shap(spark, sf, "regressor")
-    one = H.pick_one(enc.select("row_id"))
-    return (attr.join(one, "row_id")
-                .select("row_id", "feature", "value", F.lit(base).alias("base_value"))
+    train = bundle(spark, sf)["parts"]["train"]
+    attr, base = _shap(spark, sf, "regressor", train.join(H.pick_one(train.select("row_id")), "row_id"))
+    return (attr.select("row_id", "feature", "value", F.lit(base).alias("base_value"))
                 .orderBy(F.abs("value").desc(), "feature"))
 
 
 @query("tree_gain")
 def q_tree_gain(spark, sf):
-    _, _, _, nodes, names = _shap(spark, sf, "classifier")
+    _, nodes, names = _trees(spark, sf, "classifier")
     names = names.select(F.col("feature_index").alias("feature"), F.col("feature").alias("feature_name"))
     return H.tree_gain(nodes, names)
 
@@ -318,8 +324,8 @@ def q_importance_topk(spark, sf):
 def q_shap_importance_top20(spark, sf):
     """H1 -> A18 -> W2 on the trained classifier: mean |SHAP| per encoded
     feature over the training rows, 20 largest."""
-    attr, _, _, _, _ = _shap(spark, sf, "classifier")
-    return H.top_k(H.mean_abs_importance(attr, "row_id", "feature", "value"), 20)
+    attr, _ = _shap(spark, sf, "classifier")
+    return H.top_k(H.mean_abs_importance(attr, "row_id", "feature", "value", bundle(spark, sf)["parts"]["train"].count()), 20)
 
 
 _CMP_SQL = """

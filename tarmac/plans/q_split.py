@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tarmac import schema as S
 from tarmac.fixtures import materialised, oracle_with
 from tarmac.operators import encode as EN
+from tarmac.operators import models as MD
 from tarmac.operators import metrics as M
 from tarmac.operators import split as SP
 from tarmac.operators import weather as W
@@ -108,7 +109,7 @@ SELECT year, month, carrier, airport, split,
 FROM s, st"""))
 def q_standard_scale(spark, sf):
     df = split_weather(spark, sf)
-    model = EN.fit_population_scaler(df.where("split = 'train'"), NUM20, "__z")
+    model = EN.scaler_stage(df.where("split = 'train'"), NUM20, "__z")
     return r6(model.transform(df).select(*KEYS, "split", *[c + "__z" for c in NUM20]))
 
 
@@ -121,7 +122,7 @@ CATS = S.CATEGORICAL_COLUMNS
     for c in CATS)))
 def q_one_hot(spark, sf):
     df = split_weather(spark, sf)
-    model = EN.fit_one_hot(df.where("split = 'train'"), CATS)
+    model = MD.fit_encoder(df.where("split = 'train'"), S.FEATURES_REFERENCE)
     return EN.one_hot_long(model, df, CATS, KEYS)
 
 
@@ -129,29 +130,19 @@ IMPUTE_NUM = ["arr_delay", "carrier_delay", "weather_delay", "avg_delay_per_flig
 IMPUTE_CAT = ["carrier", "airport", "month"]
 
 
-def _mode_sql(c):
-    return (f"SELECT '{c}' AS column_name, 'most_frequent' AS strategy, CAST(NULL AS DOUBLE) AS num_value, "
-            f"(SELECT v FROM (SELECT CAST({c} AS STRING) AS v, count(*) AS n FROM flights_eda WHERE {c} IS NOT NULL "
-            f"GROUP BY 1) t ORDER BY n DESC, v ASC LIMIT 1) AS str_value, "
-            f"(SELECT count(*) FROM flights_eda WHERE {c} IS NULL) AS n_filled")
+def _fill_sql(c):
+    if c in IMPUTE_NUM:
+        return f"round(coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont({c}, 0.5) FROM flights_eda)), 6) AS {c}__f"
+    return (f"coalesce(CAST({c} AS STRING), (SELECT v FROM (SELECT CAST({c} AS STRING) AS v, count(*) AS n FROM flights_eda "
+            f"WHERE {c} IS NOT NULL GROUP BY 1) t ORDER BY n DESC, v ASC LIMIT 1)) AS {c}__f")
 
 
-@query("impute", oracle_with(["flights_eda"], " UNION ALL ".join(
-    [f"SELECT '{c}' AS column_name, 'median' AS strategy, round(quantile_cont({c}, 0.5), 6) AS num_value, "
-     f"CAST(NULL AS STRING) AS str_value, count(*) - count({c}) AS n_filled FROM flights_eda" for c in IMPUTE_NUM]
-    + [_mode_sql(c) for c in IMPUTE_CAT])))
+@query("impute", oracle_with(["flights_eda"], f"""
+SELECT {", ".join(KEYS)}, {", ".join(_fill_sql(c) for c in IMPUTE_NUM + IMPUTE_CAT)} FROM flights_eda"""))
 def q_impute(spark, sf):
     df = flights_eda(spark, sf)
-    med = EN.median_fill_values(df, IMPUTE_NUM).select(
-        "column_name", F.lit("median").alias("strategy"), F.col("value").alias("num_value"),
-        F.lit(None).cast("string").alias("str_value"))
-    mod = EN.mode_fill_values(df, IMPUTE_CAT).select(
-        "column_name", F.lit("most_frequent").alias("strategy"), F.lit(None).cast("double").alias("num_value"),
-        F.col("value").alias("str_value"))
-    cols = IMPUTE_NUM + IMPUTE_CAT
-    nulls = (df.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in cols])
-               .unpivot([], cols, "column_name", "n_filled"))
-    return r6(med.unionByName(mod).join(nulls, "column_name"))
+    stage = EN.fill_stage(EN.fill_values(df, IMPUTE_NUM, IMPUTE_CAT), IMPUTE_NUM, IMPUTE_CAT)
+    return r6(stage.transform(df).select(*KEYS, *[f"{c}__f" for c in IMPUTE_NUM + IMPUTE_CAT]))
 
 
 # ---------------------------------------------------------------- metrics

@@ -25,8 +25,10 @@ WEATHER_COLUMNS = ["temperature_2m_mean", "precipitation_sum", "windspeed_10m_ma
 RATE_COLUMNS = ["delay_rate", "avg_delay_per_flight"]
 CATEGORICAL_COLUMNS = ["carrier", "carrier_name", "airport", "airport_name", "year", "month"]
 CAUSES = ["carrier_delay", "weather_delay", "nas_delay", "security_delay", "late_aircraft_delay"]
-COUNT_COLUMNS = NUMERIC_COLUMNS[:9]
-DELAY_COLUMNS = NUMERIC_COLUMNS[9:]
+COUNT_COLUMNS = ["arr_flights", "arr_del15", "carrier_ct", "weather_ct", "nas_ct",
+                 "security_ct", "late_aircraft_ct", "arr_cancelled", "arr_diverted"]
+DELAY_COLUMNS = ["arr_delay", "carrier_delay", "weather_delay", "nas_delay",
+                 "security_delay", "late_aircraft_delay"]
 HIGH_DELAY_RATE_THRESHOLD = 0.25
 TARGET_CLASSIFICATION = "high_delay_risk"
 TARGET_REGRESSION = "avg_delay_per_flight"
@@ -38,6 +40,7 @@ HISTORY_COLUMNS = ["timestamp", "year", "month", "carrier", "airport", "arr_flig
 # Request bounds of the scoring contract.
 YEAR_MIN, YEAR_MAX = 1980, 2100
 MONTH_MIN, MONTH_MAX = 1, 12
+COUNT_LIMIT = float(2 ** 63)   # counts from here on are no bigint
 # Risk levels: label at p >= 0.5; three levels cut at 0.3 and 0.7.
 LABEL_CUT = 0.5
 RISK_LOW_CUT, RISK_HIGH_CUT = 0.3, 0.7
@@ -84,6 +87,9 @@ AIRPORTS_RAW = T.StructType(
     + [T.StructField("latitude_deg", T.DoubleType()), T.StructField("longitude_deg", T.DoubleType())]
 )
 
+COORDINATES = T.StructType([T.StructField("airport", T.StringType()), T.StructField("lat", T.DoubleType()),
+                            T.StructField("lon", T.DoubleType())])
+
 WEATHER_ARCHIVE = T.StructType([
     T.StructField("airport", T.StringType()),
     T.StructField("year", T.IntegerType()),

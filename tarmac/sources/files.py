@@ -38,8 +38,10 @@ def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType,
         raise ValueError(f"missing columns in {path}: {miss}")
     known = {f.name: f.dataType for f in schema.fields}
     read_schema = T.StructType([T.StructField(c, known.get(c, T.StringType())) for c in header])
+    # enforceSchema off: every file's own header must agree with the first
+    # one's, so a file with its columns in another order is an error
     df = (spark.read.schema(read_schema).option("header", True).option("mode", "PERMISSIVE")
-               .option("nanValue", "NaN").csv(path))
+               .option("enforceSchema", False).option("nanValue", "NaN").csv(path))
     df = _null_tokens(df, [f.name for f in read_schema.fields if isinstance(f.dataType, T.StringType)])
     return df.select(*[f.name for f in schema.fields if f.name in header])
 
@@ -57,6 +59,11 @@ def read_airports_csv(spark: SparkSession, path: str, schema: T.StructType | Non
     return read_typed_csv(spark, path, schema)
 
 
+def read_coordinates_csv(spark: SparkSession, path: str) -> DataFrame:
+    """S3: static coordinates ``airport, lat, lon``."""
+    return read_typed_csv(spark, path, S.COORDINATES)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Headered CSV; blank texts are kept as written (no whitespace trimming)."""
     (df.write.mode(mode).option("header", True)
@@ -138,13 +145,11 @@ def history_append(df: DataFrame, path: str) -> None:
 
 
 def history_load(spark: SparkSession, path: str) -> DataFrame:
-    """Absent or unreadable history -> empty table with the schema."""
-    try:
-        if path_exists(spark, path):
-            return spark.read.schema(S.HISTORY).parquet(path)
-    except Exception:  # noqa: BLE001 - unreadable history behaves as empty
-        pass
-    return spark.createDataFrame([], S.HISTORY)
+    """Absent or corrupt history -> empty table with the schema (corrupt
+    files are skipped when read); any other failure of the store is an error."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], S.HISTORY)
+    return spark.read.schema(S.HISTORY).option("ignoreCorruptFiles", True).parquet(path)
 
 
 def history_export(spark: SparkSession, path: str, out: str) -> None:

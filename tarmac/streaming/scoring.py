@@ -7,19 +7,20 @@ and stops (the batch-like trigger used for backfills and tests).
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac import schema as S
 from tarmac.operators import score as SC
 
 
 def request_stream(spark: SparkSession, source_dir: str, max_files: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(S.SCORE_REQUEST)
+    r = spark.readStream
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.json(source_dir)
+    return SC.read_requests(r, source_dir)
 
 
 def stream_score(spark: SparkSession, source_dir: str, clf: PipelineModel, reg: PipelineModel,
@@ -54,15 +55,22 @@ def stream_accept_reject(spark: SparkSession, source_dir: str, accepted_dir: str
 
     ``foreachBatch`` is at-least-once: a micro-batch re-run after a failure
     gets the same epoch id. Each epoch is therefore written as its own
-    ``epoch=<id>`` partition with dynamic partition overwrite, so a re-run
-    replaces its earlier output instead of duplicating it.
+    ``stream=<id>/epoch=<id>`` partition with dynamic partition overwrite, so a
+    re-run replaces its earlier output instead of duplicating it. The stream's
+    id lives in its checkpoint: another checkpoint folder is another stream,
+    whose epochs (from 0 again) never touch those already written.
     """
     validated = SC.validate_requests(request_stream(spark, source_dir))
+    started, query = threading.Event(), []
+
+    def stream_id() -> str:
+        started.wait()      # the first batch may run before start() has returned
+        return query[0].id
 
     def write_epoch(df: DataFrame, path: str, epoch: int) -> None:
-        (df.withColumn("epoch", F.lit(epoch).cast("long"))
+        (df.withColumn("stream", F.lit(stream_id())).withColumn("epoch", F.lit(epoch).cast("long"))
            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-           .partitionBy("epoch").parquet(path))
+           .partitionBy("stream", "epoch").parquet(path))
 
     def write_both(batch: DataFrame, epoch: int) -> None:
         batch.persist()
@@ -78,4 +86,6 @@ def stream_accept_reject(spark: SparkSession, source_dir: str, accepted_dir: str
     q = (validated.writeStream.foreachBatch(write_both)
                   .option("checkpointLocation", checkpoint_dir)
                   .trigger(availableNow=True).start())
+    query.append(q)
+    started.set()
     q.awaitTermination()

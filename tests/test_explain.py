@@ -106,5 +106,5 @@ def test_vectorised_equals_per_leaf(spark):
     model.write().overwrite().save(path)
     trees = H._compile(H.tree_nodes(spark, path).toPandas())
     slow = H.shap_matrix(X, trees)
-    fast = H.shap_matrix_vectorised(X, H.compile_vectorised(trees, X.shape[1]), chunk=64)
+    fast = H.shap_matrix_vectorised(X, H.compile_vectorised(trees), chunk=64)
     assert np.allclose(slow, fast, atol=1e-10)

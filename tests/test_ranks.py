@@ -50,17 +50,17 @@ def test_binned_density_close_to_exact(spark):
     assert max(abs(ex[i] - ref[i]) for i in range(50)) < 1e-9
 
 
-def test_many_keys_fallback_path(spark, monkeypatch):
-    import tarmac.operators.ranks as RK
-    monkeypatch.setattr(RK, "MAX_BOUND_KEYS", 1)
-    rng = np.random.default_rng(2)
-    rows = [(str(k), float(v)) for k in range(4) for v in rng.integers(0, 30, 60)]
-    df = spark.createDataFrame(rows, "k string, v double")
-    got = {(r["k"], r["prob"]): r["quantile"] for r in RK.exact_quantiles(df, ["k"], "v", [0.3, 0.9], 3).collect()}
-    for k in map(str, range(4)):
-        vals = [v for kk, v in rows if kk == k]
-        for p in (0.3, 0.9):
-            assert abs(got[(k, p)] - np.quantile(vals, p)) < 1e-9
+def test_more_than_two_thousand_keys(spark):
+    df = spark.range(0, 9000).select((F.col("id") % 3000).alias("k"), F.col("id").cast("double").alias("v"))
+    got = {r["k"]: r["quantile"] for r in exact_quantiles(df, ["k"], "v", [0.5]).collect()}
+    assert got == {k: float(k + 3000) for k in range(3000)}
+
+
+def test_slices_cover_a_hot_key(spark):
+    from tarmac.operators.ranks import _sliced
+    df = spark.range(0, 4000).select(F.lit("hot").alias("k"), F.col("id").alias("v"))
+    ends = _sliced(df, ["k"], "v", 8).groupBy("_slice").agg(F.min("v"), F.max("v"), F.count("v")).orderBy("_slice").collect()
+    assert len(ends) >= 6 and all(a[2] < b[1] for a, b in zip(ends, ends[1:])) and max(r[3] for r in ends) < 2000
 
 
 def test_global_quantiles_no_cartesian(spark):

@@ -41,6 +41,29 @@ def test_stream_equals_batch(spark):
     assert spark.read.parquet(acc).count() == len(got_acc)
 
 
+def test_a_second_checkpoint_appends(spark):
+    acc, rej = scratch_path(spark, "t_acc"), scratch_path(spark, "t_rej")
+    for part in range(2):
+        src = scratch_path(spark, "t_src")
+        rows = _req(spark, [(2020, 1, "C", 1.0, 1.0)] * 3).selectExpr(f"request_id + {part * 3} AS request_id", "* EXCEPT (request_id)")
+        rows.write.json(src)
+        ST.stream_accept_reject(spark, src, acc, rej, scratch_path(spark, "t_ck"))
+    assert sorted(r["request_id"] for r in spark.read.parquet(acc).collect()) == list(range(6))
+
+
+def test_bad_numbers_and_types_reject_one_request(spark):
+    df = _req(spark, [(99999999999, 1, "C", 1.0, 1.0), (2020, 1, "C", float("inf"), 1.0), (2020, 1, "C", 1e300, 1.0), (2020, 2, "C", 5.0, 1.0)])
+    out = {r["request_id"]: r for r in SC.validate_requests(df).collect()}
+    assert [out[i]["valid"] for i in range(4)] == [False, False, False, True]
+    assert out[1]["errors"] == ["arr_flights: out of range"] and out[1]["arr_flights"] == 0
+    src = scratch_path(spark, "t_src")
+    text = [r[0] for r in df.where("request_id = 3").selectExpr("to_json(struct(*))").collect()]
+    spark.createDataFrame([(t,) for t in text + [text[0].replace('"arr_flights":5.0', '"arr_flights":"abc"').replace('"request_id":3', '"request_id":4')]],
+                          "value string").write.text(src)
+    got = {r["request_id"]: r for r in SC.validate_requests(SC.read_requests(spark.read, src)).collect()}
+    assert got[3]["valid"] and got[4]["errors"] == ["request: wrong type"]
+
+
 def test_epoch_rerun_is_idempotent(spark):
     """A re-executed micro-batch (same epoch id) replaces its output."""
     from pyspark.sql import functions as F

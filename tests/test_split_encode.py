@@ -1,3 +1,4 @@
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from tarmac import schema as S
@@ -25,7 +26,7 @@ def test_split_sizes_within_one_row(spark):
 
 def test_population_scaler(spark):
     df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (3.0, 5.0)], "a double, b double")
-    m = EN.fit_population_scaler(df, ["a", "b"], "__z")
+    m = EN.scaler_stage(df, ["a", "b"], "__z")
     out = m.transform(df).agg(F.avg("a__z").alias("m"), F.stddev_pop("a__z").alias("s"), F.max(F.abs("b__z")).alias("b")).first()
     assert abs(out["m"]) < 1e-12 and abs(out["s"] - 1) < 1e-12 and out["b"] == 0.0
 
@@ -33,10 +34,10 @@ def test_population_scaler(spark):
 def test_one_hot_unknown_and_null_are_zero(spark):
     tr = spark.createDataFrame([("x", 1), ("y", 2)], "c string, k int")
     te = spark.createDataFrame([("x", 1), ("z", 3), (None, 4)], "c string, k int")
-    model = EN.fit_one_hot(tr, ["c"])
+    model = Pipeline(stages=EN.one_hot_stages(["c"])).fit(tr)
     long = {r["k"]: r["feature"] for r in EN.one_hot_long(model, te, ["c"], ["k"]).collect()}
     assert long == {1: "cat__c_x"}
-    assert EN.feature_names(["n"], model, ["c"]) == ["num__n", "cat__c_x", "cat__c_y"]
+    assert EN.one_hot_labels(model) == [["x", "y"]]
 
 
 def test_imputers(spark):
@@ -45,6 +46,8 @@ def test_imputers(spark):
     assert med == 3.0
     mode = EN.mode_fill_values(df, ["s"]).first()["value"]
     assert mode == "a"          # tie 2-2 -> smallest
+    filled = EN.fill_stage(EN.fill_values(df, ["v"], ["s"]), ["v"], ["s"]).transform(df).select("v__f", "s__f").collect()
+    assert [tuple(r) for r in filled] == [(1.0, "b"), (3.0, "a"), (3.0, "b"), (10.0, "a"), (3.0, "a")]
 
 
 def test_search_space_seeded():
