@@ -6,7 +6,8 @@
   two numbers per column.
 * one-hot: MLlib ``StringIndexer`` (alphabetical, ``keep``) + ``OneHotEncoder``
   (``dropLast``): the kept "unknown" slot is the dropped one, so unseen and
-  null categories encode as all zeros; nothing else is dropped.
+  null categories encode as all zeros; nothing else is dropped, and a vector
+  has one slot per encoded name.
 * imputers: exact medians (distributed, see ``ranks``) and most frequent
   values (ties -> smallest).
 
@@ -45,7 +46,7 @@ def one_hot_stages(cat_cols: list[str], suffix: str = "") -> list:
     idx = StringIndexer(inputCols=[f"{c}{suffix}" for c in cat_cols], outputCols=[f"{c}__idx" for c in cat_cols],
                         stringOrderType="alphabetAsc", handleInvalid="keep")
     ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in cat_cols],
-                        outputCols=[f"{c}__ohe" for c in cat_cols], dropLast=True, handleInvalid="keep")
+                        outputCols=[f"{c}__ohe" for c in cat_cols], dropLast=True)
     return [idx, ohe]
 
 

@@ -12,6 +12,7 @@ _MODULES = [
     "tarmac.plans.q_split",
     "tarmac.plans.q_models",
     "tarmac.plans.q_flows",
+    "tarmac.plans.q_checks",
 ]
 
 

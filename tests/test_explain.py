@@ -108,3 +108,27 @@ def test_vectorised_equals_per_leaf(spark):
     slow = H.shap_matrix(X, trees)
     fast = H.shap_matrix_vectorised(X, H.compile_vectorised(trees), chunk=64)
     assert np.allclose(slow, fast, atol=1e-10)
+
+
+def test_invariant_checks_can_fail(spark):
+    """A deliberate break of each row invariant shows."""
+    from tarmac.plans import q_checks as Q
+    good = spark.createDataFrame([(1, 0.7, 1, 3.0)], "request_id long, high_delay_risk_proba double, high_delay_risk_label int, avg_delay_per_flight double")
+    assert tuple(Q.score_flags(good).first()) == (1, 1, 1, 1)
+    bad = good.selectExpr("request_id", "1.5D AS high_delay_risk_proba", "0 AS high_delay_risk_label", "double('NaN') AS avg_delay_per_flight")
+    assert tuple(Q.score_flags(bad).first()) == (1, 0, 0, 0)
+    rows = spark.createDataFrame([(2000, 1, "C", "A", 5, 2.0)], "year int, month int, carrier string, airport string, row_id long, m double")
+    attr = spark.createDataFrame([(5, 0.5), (5, 0.5)], "row_id long, value double")
+    assert Q.additive(rows, attr, 1.0, F.col("m")).first()["additive"] == 1
+    assert Q.additive(rows, attr, 1.1, F.col("m")).first()["additive"] == 0
+
+
+def test_least_squares_check_can_fail(spark):
+    from pyspark.ml.regression import LinearRegression
+    from tarmac.plans import q_checks as Q
+    df, _ = _data(spark)
+    df = df.withColumn("label", F.col("target"))
+    exact = LinearRegression(solver="normal", regParam=0.0).fit(df)
+    assert Q.normal_equations(exact, df).first()["orthogonal"] == 1
+    shrunk = LinearRegression(solver="normal", regParam=0.5).fit(df)
+    assert Q.normal_equations(shrunk, df).first()["orthogonal"] == 0

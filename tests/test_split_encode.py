@@ -38,6 +38,7 @@ def test_one_hot_unknown_and_null_are_zero(spark):
     long = {r["k"]: r["feature"] for r in EN.one_hot_long(model, te, ["c"], ["k"]).collect()}
     assert long == {1: "cat__c_x"}
     assert EN.one_hot_labels(model) == [["x", "y"]]
+    assert {r[0].size for r in model.transform(te).select("c__ohe").collect()} == {2}
 
 
 def test_imputers(spark):
