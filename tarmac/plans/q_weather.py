@@ -57,6 +57,15 @@ def q_read_airports_csv(spark, sf):
     return IO.read_airports_csv(spark, path, AIRPORTS_RAW_ORD)
 
 
+@query("read_coordinates_csv", oracle_with(["airports_raw"], DIM_SQL + """
+SELECT faa_code AS airport, latitude_deg AS lat, longitude_deg AS lon FROM dim"""))
+def q_read_coordinates_csv(spark, sf):
+    """S3: the static coordinates file, written from the dimension."""
+    path = scratch_path(spark, "coordinates_csv")
+    IO.write_csv(AP.airport_coords(dim(spark, sf)).withColumnRenamed("faa_code", "airport"), path)
+    return IO.read_coordinates_csv(spark, path)
+
+
 @query("airport_lookup", oracle_with(["flights_raw", "airports_raw"], DIM_SQL + """
 SELECT c.airport, d.latitude_deg AS lat, d.longitude_deg AS lon
 FROM (SELECT DISTINCT airport FROM flights_raw) c LEFT JOIN dim d ON c.airport = d.faa_code"""))

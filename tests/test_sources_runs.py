@@ -100,3 +100,42 @@ def test_prepare_flow_checks_contract(spark):
                                       "precipitation_sum double, windspeed_10m_max double")
     with pytest.raises(MissingColumnsError, match="nas_delay"):
         flows.prepare_datasets(spark, raw, daily, scratch_path(spark, "t_prep"))
+
+
+def _text(spark, path, lines):
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("append").text(path)
+
+
+def test_csv_files_with_swapped_columns_are_an_error(spark):
+    path = scratch_path(spark, "t_coords")
+    _text(spark, path, ["airport,lat,lon", "A1,1.0,2.0"])
+    assert [tuple(r) for r in IO.read_coordinates_csv(spark, path).collect()] == [("A1", 1.0, 2.0)]
+    _text(spark, path, ["airport,lon,lat", "A2,2.0,1.0"])
+    with pytest.raises(Exception, match="header|conform"):
+        IO.read_coordinates_csv(spark, path).collect()
+
+
+def test_keep_first_is_file_order_over_several_files(spark, tmp_path):
+    head = "ident,name,municipality,iso_region,iso_country,iata_code,local_code,latitude_deg,longitude_deg"
+    one = "{0},{1},c,US-X,US,AAA,AAA,1.0,2.0"
+    (tmp_path / "a.csv").write_text("\n".join([head, one.format("first", "a")]) + "\n")
+    (tmp_path / "b.csv").write_text("\n".join([head, *[one.format(f"later{i}", "b" * 50) for i in range(500)]]) + "\n")
+    got = AP.airports_dim(IO.read_airports_csv(spark, f"file://{tmp_path}")).collect()
+    assert [(r["faa_code"], r["ident"]) for r in got] == [("AAA", "first")]
+
+
+def test_run_store_reads_run_folders_only(spark, tmp_path):
+    for name, text in {"r1/metrics/test_auc": "0 0.9 0", "r1/params/model_type": "gbt", "r1/tags/stage": "final",
+                       "r1/artifacts/model/data.txt": "x", "models/m-1/metrics/test_auc": "0 0.99 0",
+                       "models/m-1/params/model_type": "other"}.items():
+        f = tmp_path / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(text)
+    wide = R.runs_wide(R.runs_long(spark, f"file://{tmp_path}"), ["test_auc"], ["model_type"], ["stage"]).collect()
+    assert [(r["run_id"], r["metrics.test_auc"]) for r in wide] == [("r1", 0.9)]
+
+
+def test_history_of_an_unreachable_store_is_an_error(spark):
+    assert IO.history_load(spark, scratch_path(spark, "none")).count() == 0
+    with pytest.raises(Exception, match="No FileSystem|UnsupportedFileSystem|nosuch"):
+        IO.history_load(spark, "nosuch://store/history")
