@@ -28,7 +28,7 @@ MIN_DOCS = 200
 REACH = 5
 # metric: (expression in whole numbers, least spread)
 METRICS = {
-    "word_length": ("100 * word_chars div n_words", 10),
+    "word_length": ("100 * word_chars div n_words", 25),
     "symbols": ("1000 * n_symbols div n_words", 20),
     "dup_lines": ("1000 * n_dup_lines div n_lines", 100),
     "repeat_words": ("1000 * n_repeat_words div n_words", 100),
