@@ -175,10 +175,11 @@ def q_model_gbt_regressor(spark, sf):
 
 def _tune(spark, sf, kind, target):
     b = bundle(spark, sf)
-    tr = MD.with_label(b["encoded"]["train"], target)
-    va = MD.with_label(b["encoded"]["val"], target)
-    trials = MD.sample_params(SPACE, N_TRIALS, MD.SEED)
-    res = MD.tune(tr, va, kind, trials, parallelism=4)
+
+    def search():
+        tr, va = (MD.with_label(b["encoded"][part], target) for part in ("train", "val"))
+        return MD.tune(tr, va, kind, MD.sample_params(SPACE, N_TRIALS, MD.SEED), parallelism=4)
+    res = b._get(f"search {kind}", search)      # once a session, like the models
     best = MD.best_trial(res, kind)
     df = MD.trials_frame(spark, res, kind)
     return df.withColumn("is_best", (F.col("trial") == best["trial"]).cast("int"))
