@@ -5,11 +5,12 @@
    ``BITS`` bits of each minimum, packed.
 2. Texts with one shingle set are one class, its smallest id stands for it.
 3. Classes that share a band key are candidates. A bucket never becomes all
-   its pairs: in ``STARS`` rounds its members are compared with one member
-   (another in every band and round) that isn't yet of their component. What
-   is still in different components after that is compared in blocks of at
-   most ``BLOCK`` by block inside a task, signature against signature; only
-   pairs that pass come out. Members of a bucket's largest component aren't
+   its pairs: in ``STARS`` rounds one member of it (another in every band and
+   round), the centre, is compared with those of other components, and then
+   leaves the bucket. What is still in different components after that is
+   compared in blocks of about ``BLOCK`` by block inside a task: signatures
+   first, then the full sets of the pairs that pass; only links that join
+   components come out. Members of a bucket's largest component aren't
    compared with each other.
 4. A pair passes if the share of equal signature entries, corrected for
    chance collisions, is within five standard deviations of the threshold,
@@ -38,7 +39,7 @@ WIDTH = 5                     # words in a shingle
 PERCENT = 85                  # 100 * intersection >= PERCENT * union
 ROWS, BANDS, BITS = 5, 24, 4
 PERMS = ROWS * BANDS
-STARS = 2
+STARS = 3
 BLOCK = 1024
 LAST_ID = 2 ** 63 - 1         # stands for a null id
 _WORDS_KEPT = 200_000
@@ -180,15 +181,18 @@ def _pair(x: str | Column, y: str | Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _star_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Each member with one of its bucket that is of another component. The
-    mask makes the least member a different one in every bucket and round."""
+def _stars(members: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """One member of each bucket, the centre, paired with those of other
+    components; and the buckets without their centres, which have then met
+    all others. The mask makes the least member a different one in every
+    bucket and round."""
     mask = F.xxhash64(F.col("key"), F.lit(turn))
     centre = (members.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mask)).alias("x"))
               .select("key", F.col("x").bitwiseXOR(mask).alias("centre")))
-    at = members.select("key", F.col("id").alias("centre"), F.col("comp").alias("of"))
-    centre = centre.join(at, ["key", "centre"])
-    return members.join(centre, "key").where("comp != of").select(*_pair("id", "centre")).distinct()
+    met = members.join(centre, "key")
+    own = met.where("id = centre").select("key", F.col("comp").alias("of"))
+    pairs = met.where("id != centre").join(own, "key").where("comp != of").select(*_pair("id", "centre")).distinct()
+    return pairs, met.where("id != centre").select("key", "id")
 
 
 def _open_buckets(members: DataFrame) -> DataFrame:
@@ -197,9 +201,11 @@ def _open_buckets(members: DataFrame) -> DataFrame:
     return members.join(several, "key")
 
 
-def _block_pairs(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Passing pairs of different components of a bucket, found block by
-    block. The bucket's largest component (role 0) meets only the others."""
+def _block_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components of a bucket, found block by block: of the
+    pairs that pass, those that the full sets confirm and that join two
+    components not joined before in the block. The bucket's largest component
+    (role 0) meets only the others."""
     sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
     largest = (sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("big"), F.sum("size").alias("all"))
                .select("key", F.col("big.comp").alias("big"), F.col("big.size").alias("n0"), (F.col("all") - F.col("big.size")).alias("n1")))
@@ -212,9 +218,9 @@ def _block_pairs(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame
                             F.transform(F.sequence(F.lit(0), blocks[1] - 1), lambda k: F.struct(
                                 F.lit(1).alias("r"), F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))))
     dealt = (members.join(largest, "key").withColumn("role", role).withColumn("block", here)
-             .join(reps.select("id", "n", "sig"), "id")
-             .select("key", F.explode(meets).alias("m"), "role", "block", "id", "comp", "n", "sig")
-             .select("key", "m.r", "m.i", "m.j", "role", "block", "id", "comp", "n", "sig"))
+             .join(reps.select("id", "n", "sig").join(sets, "id"), "id")
+             .select("key", F.explode(meets).alias("m"), "role", "block", "id", "comp", "n", "sig", "set")
+             .select("key", "m.r", "m.i", "m.j", "role", "block", "id", "comp", "n", "sig", "set"))
     least = least_estimate(percent)
 
     def compare(p: pd.DataFrame) -> pd.DataFrame:
@@ -224,13 +230,30 @@ def _block_pairs(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame
         if not len(first) or not len(second):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         sig = np.frombuffer(b"".join(second.sig), np.uint8).reshape(len(second), -1)
-        ids, comps, ns = (second[c].to_numpy() for c in ("id", "comp", "n"))
+        ids, root, ns = (second[c].to_numpy().copy() for c in ("id", "comp", "n"))
+        flat = np.frombuffer(b"".join(second.set), np.uint64)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], np.repeat(np.arange(len(second)), ns)[order]
+        joined: dict[int, int] = {}
         out = []
-        for x, c, n, s in zip(first.id, first.comp, first.n, first.sig):
-            ok = np.flatnonzero((comps != c) & (np.minimum(ns, n) * 100 >= np.maximum(ns, n) * percent))
+        for x, c, n, s, have in zip(first.id, first.comp, first.n, first.sig, first.set):
+            while c in joined:
+                c = joined[c]
+            ok = np.flatnonzero((root != c) & (np.minimum(ns, n) * 100 >= np.maximum(ns, n) * percent))
             ok = ok[estimate(sig[ok], np.frombuffer(s, np.uint8)) >= least] if len(ok) else ok
-            out += [(min(x, y), max(x, y)) for y in ids[ok]]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+            if not len(ok):
+                continue
+            have = np.frombuffer(have, np.uint64)
+            start, many = np.searchsorted(flat, have), np.searchsorted(flat, have, "right")
+            many = many - start
+            places = np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())
+            common = np.bincount(owner[places], minlength=len(second))[ok]
+            for y in ok[100 * common >= percent * (n + ns[ok] - common)]:
+                if root[y] != c:
+                    out.append((min(x, ids[y]), max(x, ids[y])))
+                    joined[int(root[y])] = c
+                    root[root == root[y]] = c
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("key", "r", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
@@ -258,32 +281,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links, tested, comp = None, None, None
 
-    def test(pairs: DataFrame) -> DataFrame:
-        """Test pairs that haven't been; components with the links added."""
-        nonlocal links, tested, comp
-        new = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        new = cut(_passing(new, reps, percent))
-        tested = new if tested is None else tested.unionByName(new)
-        confirmed = cut(_links(new, sets, percent))
+    def add(confirmed: DataFrame) -> None:
+        nonlocal links, comp
         links = confirmed if links is None else links.unionByName(confirmed)
         comp = components(links)
 
-    def now() -> DataFrame:
-        """Members of open buckets with their component so far."""
-        if comp is None:
-            return members.withColumn("comp", F.col("id"))
-        placed = members.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-        return cut(_open_buckets(placed))
+    def placed(rows: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components, with theirs."""
+        known = rows.withColumn("comp", F.col("id")) if comp is None else (
+            rows.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")))
+        return cut(_open_buckets(known))
 
     if sets is not None:
-        left = now()
+        left = placed(members)
         for turn in range(STARS):
-            test(_star_pairs(left, turn))
-            left = now()
+            pairs, rest = _stars(left, turn)
+            new = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+            new = cut(_passing(new, reps, percent))
+            tested = new if tested is None else tested.unionByName(new)
+            add(cut(_links(new, sets, percent)))
+            left = placed(rest)
             if left.isEmpty():
                 break
         else:
-            test(_block_pairs(left, reps, percent))
+            add(cut(_block_links(left, reps, sets, percent)))
         joined = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     else:
         joined = member.withColumn("component", F.lit(None).cast("long"))
