@@ -129,7 +129,7 @@ w AS (SELECT (sum(y) + 1.0) / (sum(n) + 2.0) AS mean FROM h),
 SELECT page_id, host, path, CASE {rule} END AS rule,
        CASE {verdict}
             WHEN mean - {Z} * sqrt(mean * (1 - mean) / (a + b + 1)) > {LIMIT} THEN 'block' ELSE 'allow' END AS verdict,
-       n AS n_labelled
+       CAST(n AS BIGINT) AS n_labelled
 FROM p JOIN hosts USING (host)
 """
 
