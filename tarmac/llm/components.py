@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tarmac.llm.common import cut
 
 
+ROWS = 100_000   # edges in a partition
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (smallest node reachable) of every node of the
     undirected ``edges`` (a, b), both long and not null.
@@ -23,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
@@ -31,5 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
+        # a few edges need few tasks: partitions follow their number
+        now = now.coalesce(1 + state[0] // ROWS)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

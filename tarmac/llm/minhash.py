@@ -7,7 +7,8 @@
 3. Classes that share a band key are candidates. A bucket never becomes all
    its pairs: in ``STARS`` rounds one member of it (another in every band and
    round), the centre, is compared with those of other components, and then
-   leaves the bucket. What is still in different components after that is
+   leaves the bucket. (More rounds save block comparisons but cost rounds of
+   small shuffles; the result is the same.) What is still in different components after that is
    compared in blocks of about ``BLOCK`` by block inside a task: signatures
    first, then the full sets of the pairs that pass; only links that join
    components come out. Members of a bucket's largest component aren't
@@ -39,7 +40,7 @@ WIDTH = 5                     # words in a shingle
 PERCENT = 85                  # 100 * intersection >= PERCENT * union
 ROWS, BANDS, BITS = 5, 24, 4
 PERMS = ROWS * BANDS
-STARS = 3
+STARS = 1
 BLOCK = 1024
 LAST_ID = 2 ** 63 - 1         # stands for a null id
 _WORDS_KEPT = 200_000
