@@ -69,7 +69,7 @@ def grams(text: str) -> Iterator[np.ndarray]:
 
 
 def _pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=3)
+    press = zstandard.ZstdCompressor(level=6)
     for b in it:
         packed = pa.array([press.compress(normal(t.as_py()).encode("utf-8", "surrogatepass")) for t in b.columns[-1]], pa.binary())
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], packed], names=[*b.schema.names[:-1], "packed"])
@@ -120,7 +120,7 @@ def _sum(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     """Bits of each document of a block, from the answers to its n-grams."""
     gram = answers["gram"].to_numpy()
     order = np.argsort(gram)
-    gram, bits = gram[order], answers["bits"].to_numpy()[order]
+    gram, bits = gram[order], answers["bits"].to_numpy(np.float64)[order]
     n, total = [], []
     for text in _unpack(docs["packed"]):
         count, s = 0, 0.0
@@ -198,7 +198,7 @@ def score(docs: DataFrame, trusted: DataFrame, blocks: int) -> DataFrame:
     asked = docs.sparkSession.read.parquet(path)
     model = asked.where("n > 0").groupBy("gram").agg(F.sum("n").alias("c"))
     p = probabilities(model, asked.select("gram").distinct())
-    answers = asked.select("block", "gram").join(p, "gram").select("block", "gram", (-F.log2("p")).alias("bits"))
+    answers = asked.select("block", "gram").join(p, "gram").select("block", "gram", (-F.log2("p")).cast("float").alias("bits"))
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_sum, "id long, lang string, n long, bits double")
 
 
