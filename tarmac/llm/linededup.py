@@ -56,14 +56,17 @@ def _ends(words: np.ndarray, lines: int, least: int) -> list[int]:
     return out
 
 
-def fingerprints(hashes: np.ndarray, words: np.ndarray) -> list[tuple[int, int]]:
+def units(hashes: np.ndarray, words: np.ndarray) -> dict[int, int]:
+    """Hash of the unit at each position that begins one, by position."""
+    return {i: xxhash.xxh3_64_intdigest(hashes[i:end].tobytes()) - 2 ** 63
+            for i, end in enumerate(_ends(words, UNIT_LINES, UNIT_WORDS)) if end and words[i]}
+
+
+def fingerprints(hashes: np.ndarray, words: np.ndarray, unit: dict[int, int] | None = None) -> list[tuple[int, int]]:
     """(position, hash) of the selected units, by position."""
     unit_end = _ends(words, UNIT_LINES, UNIT_WORDS)
     window_end = _ends(words, RUN_LINES, RUN_WORDS)
-    unit: dict[int, int] = {}
-    for i, end in enumerate(unit_end):
-        if end and words[i]:
-            unit[i] = xxhash.xxh3_64_intdigest(hashes[i:end].tobytes()) - 2 ** 63
+    unit = units(hashes, words) if unit is None else unit
     starts, chosen, at = list(unit), set(), 0
     least: deque[int] = deque()
     for start, stop in enumerate(window_end):
@@ -102,6 +105,17 @@ def own_repeats(hashes: np.ndarray, found: list[tuple[int, int]]) -> list[tuple[
     return runs
 
 
+def sent(unit: dict[int, int], found: list[tuple[int, int]], runs: list[tuple[int, int]]) -> dict[int, int]:
+    """Position of each fingerprint that goes to the join: the first selected
+    one outside ``runs``. If all of them lie in deleted runs, it is the first
+    place at all where the unit stands, which may not be a selected one (a
+    line repeated directly after itself: the rightmost is selected)."""
+    gone = {i for lo, hi in runs for i in range(lo, hi)}
+    stays = {x: i for i, x in reversed(found) if i not in gone}
+    first = {x: i for i, x in reversed(unit.items())}
+    return {x: stays.get(x, first[x]) for _, x in found}
+
+
 def line_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hash and number of words of every line."""
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
@@ -122,12 +136,10 @@ def _printed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, own, at, prints = [], [], [], []
         for t in b.column(2):
             h, w = line_hashes(t.as_py())
-            found = fingerprints(h, w)
+            unit = units(h, w)
+            found = fingerprints(h, w, unit)
             runs = own_repeats(h, found)
-            gone = np.zeros(len(h) + 1, bool)
-            for lo, hi in runs:
-                gone[lo:hi] = True
-            new = {x: i for i, x in reversed(found) if not gone[i]}
+            new = sent(unit, found, runs)
             hashed.append(h)
             own.append([{"lo": lo, "hi": hi} for lo, hi in runs])
             at.append(list(new.values()))

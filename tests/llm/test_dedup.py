@@ -167,3 +167,13 @@ def test_a_window_long_run_is_always_found():
 
 def test_line_dedup_of_nothing(spark):
     assert linededup.dedup_lines(data.frame(spark, [])).collect() == []
+
+
+def test_line_dedup_of_lines_repeated_directly(spark):
+    """Whole copies of a document whose own repeats cover its fingerprints."""
+    a = data.lines(31, 3, 12)
+    rows = [(1, "\n".join([a[0]] * 6), "en", "s"), (2, "\n".join([a[0]] * 6), "en", "s"),
+            (3, "\n".join([a[1]] * 2 + [a[2]] * 9 + a[1:]), "en", "s"), (4, "\n".join([a[1]] * 2 + [a[2]] * 9 + a[1:]), "en", "s")]
+    got = {r.doc_id: r for r in linededup.dedup_lines(data.frame(spark, rows)).collect()}
+    assert got[2].text == "" and got[4].text == ""
+    assert a[0] in got[1].text and {a[1], a[2]} == set(got[3].text.split("\n"))
