@@ -7,18 +7,20 @@ the one with the least hash (the rightmost, if several) becomes a fingerprint,
 so two documents that share a run as long as a window share a fingerprint in
 it, whatever stands around.
 
-Repeats inside a document are settled where its lines are hashed. Between
-documents, each fingerprint is joined with its first holder (smallest id, then
-position), and the match is extended line by line both ways as far as the two
-documents agree. The later document loses that run; the first holder keeps
-its own. A run that is deleted therefore has at least a unit, and of every
-repeated run of a window's length at least the fingerprinted units go, all of
-it where its fingerprints have the same first holder.
+Two searches go together. Each fingerprint is joined with its first holder
+(smallest id, then position), and the match is extended line by line both ways
+as far as the two documents agree: this finds runs from a unit on. And every
+window (from each line on, and back from each line) is compared by its hash
+with the places where it stood before, in the document and in those before it:
+of a repeated run as long as a window, whoever else holds parts of it, every
+line goes. A run that is deleted has at least a unit; the first place of a run
+keeps its lines. A run begins and ends with a line that has a word; lines
+without one beside it go if the first holder has them too.
 
 Extension ships slices of ``reach`` line hashes around a match; matches that
 fill their slice go on with longer ones, so what is sent follows the length of
-the repeated runs. Hot fingerprints and hot first holders are skewed join
-keys, which AQE splits; the other side has one row a key.
+the repeated runs. Hot fingerprints, hot windows and hot first holders
+are skewed join keys, which AQE splits; the other side has one row a key.
 """
 
 from __future__ import annotations
@@ -105,6 +107,19 @@ def own_repeats(hashes: np.ndarray, found: list[tuple[int, int]]) -> list[tuple[
     return runs
 
 
+def windows(hashes: np.ndarray, words: np.ndarray) -> list[tuple[int, int, int]]:
+    """(from, to, hash) of runs that together cover every run as long as a
+    window: the shortest windows from each line with a word on, those back
+    from each, and, where a line is a window by itself and lines without a
+    word follow, the run up to the next line with one."""
+    n = len(words)
+    filled = np.flatnonzero(words)
+    spans = {(i, end) for i, end in enumerate(_ends(words, RUN_LINES, RUN_WORDS)) if end and words[i]}
+    spans |= {(n - end, n - i) for i, end in enumerate(_ends(words[::-1], RUN_LINES, RUN_WORDS)) if end and words[n - 1 - i]}
+    spans |= {(i, j + 1) for i, j in zip(filled[:-1].tolist(), filled[1:].tolist()) if j > i + 1 and (i, i + 1) in spans}
+    return [(lo, hi, xxhash.xxh3_64_intdigest(hashes[lo:hi].tobytes()) - 2 ** 63) for lo, hi in sorted(spans)]
+
+
 def sent(unit: dict[int, int], found: list[tuple[int, int]], runs: list[tuple[int, int]]) -> dict[int, int]:
     """Position of each fingerprint that goes to the join: the first selected
     one outside ``runs``. If all of them lie in deleted runs, it is the first
@@ -126,26 +141,33 @@ def line_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 _SPAN = ArrayType(StructType([StructField("lo", LongType()), StructField("hi", LongType())]))
 _PRINTED = StructType([StructField("id", LongType()), StructField("tie", LongType()), StructField("hashes", ArrayType(LongType())),
-                       StructField("own", _SPAN), StructField("at", ArrayType(LongType())), StructField("print", ArrayType(LongType()))])
+                       StructField("own", _SPAN), StructField("at", ArrayType(LongType())), StructField("print", ArrayType(LongType())),
+                       StructField("lo", ArrayType(LongType())), StructField("hi", ArrayType(LongType())), StructField("window", ArrayType(LongType()))])
 
 
 def _printed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
     longs = pa.list_(pa.int64())
     for b in it:
-        hashed, own, at, prints = [], [], [], []
+        hashed, own, at, prints, spans = [], [], [], [], ([], [], [])
         for t in b.column(2):
             h, w = line_hashes(t.as_py())
             unit = units(h, w)
             found = fingerprints(h, w, unit)
             runs = own_repeats(h, found)
             new = sent(unit, found, runs)
+            stood: dict[int, tuple[int, int]] = {}
+            for lo, hi, x in windows(h, w):
+                if stood.setdefault(x, (lo, hi)) != (lo, hi):
+                    runs.append((lo, hi))
             hashed.append(h)
             own.append([{"lo": lo, "hi": hi} for lo, hi in runs])
+            for part, values in zip(spans, ([lo for lo, _ in stood.values()], [hi for _, hi in stood.values()], list(stood))):
+                part.append(values)
             at.append(list(new.values()))
             prints.append(list(new))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hashed, longs), pa.array(own, span),
-                                          pa.array(at, longs), pa.array(prints, longs)], names=_PRINTED.names)
+                                          pa.array(at, longs), pa.array(prints, longs), *[pa.array(x, longs) for x in spans]], names=_PRINTED.names)
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -158,7 +180,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """``id, tie, runs`` of the documents (``id, tie, text``) that lose lines:
     runs of line numbers, from ``lo`` up to before ``hi``."""
     printed = docs.mapInArrow(_printed, _PRINTED)
-    printed = cut(printed.groupBy("id", "tie").agg(*[F.first(c).alias(c) for c in ("hashes", "own", "at", "print")]))
+    printed = cut(printed.groupBy("id", "tie").agg(*[F.first(c).alias(c) for c in _PRINTED.names[2:]]))
     lines = printed.select("id", "tie", "hashes", F.size("hashes").cast("long").alias("n"))
     places = printed.select("id", "tie", F.explode(F.arrays_zip("at", "print")).alias("p")).select("id", "tie", "p.at", "p.print")
     first = (places.groupBy("print").agg(F.min(F.struct("id", "tie", "at")).alias("f"), F.count(F.lit(1)).alias("holders"))
@@ -193,9 +215,17 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
             break
         reach *= 4
     spans = printed.select("id", "tie", F.explode("own").alias("r")).select("id", "tie", "r.lo", "r.hi")
-    for d in done:
+    for d in [*done, _repeated_windows(printed)]:
         spans = spans.unionByName(d)
-    return spans.distinct().groupBy("id", "tie").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
+    return spans.groupBy("id", "tie").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("runs"))
+
+
+def _repeated_windows(printed: DataFrame) -> DataFrame:
+    """``id, tie, lo, hi`` of the windows that stand in an earlier document."""
+    places = printed.select("id", "tie", F.explode(F.arrays_zip("lo", "hi", "window")).alias("p")).select("id", "tie", "p.lo", "p.hi", "p.window")
+    first = (places.groupBy("window").agg(F.min(F.struct("id", "tie")).alias("f"), F.count(F.lit(1)).alias("holders"))
+             .where("holders > 1").select("window", F.col("f.id").alias("sid"), F.col("f.tie").alias("stie")))
+    return places.join(first, "window").where("id != sid or tie != stie").select("id", "tie", "lo", "hi")
 
 
 def _slice(col: str, start: Column, length: Column) -> Column:

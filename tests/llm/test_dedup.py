@@ -177,3 +177,53 @@ def test_line_dedup_of_lines_repeated_directly(spark):
     got = {r.doc_id: r for r in linededup.dedup_lines(data.frame(spark, rows)).collect()}
     assert got[2].text == "" and got[4].text == ""
     assert a[0] in got[1].text and {a[1], a[2]} == set(got[3].text.split("\n"))
+
+
+def qualifying(text):
+    """All runs of a text of at least four lines or 50 words, as (from, to),
+    between lines with a word; and the lines."""
+    lines = text.split("\n")
+    n = [len(x.split()) for x in lines]
+    full = [i for i, k in enumerate(n) if k]
+    return lines, [(a, b + 1) for x, a in enumerate(full) for y, b in enumerate(full) if y >= x and (y - x >= 3 or sum(n[a:b + 1]) >= 50)]
+
+
+def test_every_repeated_window_goes(spark):
+    """Checked on strings, without fingerprints: no line stays that lies in a
+    run of a window's length that stood before."""
+    import random
+    rnd = random.Random(7)
+    pool = [*data.lines(41, 9, 5), *data.lines(42, 3, 55), "", ""]
+    rows = [(i, "\n".join([*data.lines(300 + i, 1, 7), *[x for x in rnd.choices(pool, k=rnd.randint(3, 14)) for _ in range(rnd.choice([1, 1, 1, 3]))]]), "en", "s")
+            for i in range(150)]
+    # a first holder of the unit alone, then a longer passage that two later documents share
+    a, b = data.lines(51, 2, 9), data.lines(52, 6, 4)
+    rows += [(1000 + k, "\n".join([*data.lines(400 + k, 2), *a, *(b if k else []), *data.lines(500 + k, 2)]), "en", "s") for k in range(4)]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(data.frame(spark, rows)).collect()}
+    seen, partial = set(), 0
+    for d, t, *_ in rows:
+        lines, runs = qualifying(t)
+        due = set()
+        for lo, hi in runs:
+            k = tuple(lines[lo:hi])
+            if k in seen:
+                due.update(range(lo, hi))
+            seen.add(k)
+        left = [x for i, x in enumerate(lines) if i not in due and x]
+        stays = [x for x in got[d].split("\n") if x]
+        rest = iter(left)
+        assert all(x in rest for x in stays), d         # no line that is due stays
+        assert set(data.lines(300 + d, 1, 7) if d < 1000 else []) <= set(stays)
+        partial += 0 < len(stays) < len(lines)
+    assert partial > 50
+    assert not set(b) & set(got[1002].split("\n")) and set(b) <= set(got[1001].split("\n"))
+
+
+def test_windows_cover_every_qualifying_run():
+    import random
+    rnd = random.Random(3)
+    for _ in range(300):
+        t = "\n".join(rnd.choice(["", "a", "b c", "d " * 30, "e " * 60]) for _ in range(rnd.randint(1, 12)))
+        found = [(lo, hi) for lo, hi, _ in linededup.windows(*linededup.line_hashes(t))]
+        for lo, hi in qualifying(t)[1]:
+            assert set().union(*[range(a, b) for a, b in found if lo <= a and b <= hi]) == set(range(lo, hi))
