@@ -41,9 +41,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the
-    smallest id."""
-    gone = minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    smallest id. Rows go by id and text, so another text with the same id, or
+    without one, has its own verdict."""
+    return minhash.without_near_duplicates(docs, percent=NEAR_PERCENT).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

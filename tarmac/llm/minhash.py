@@ -3,7 +3,8 @@
 1. Every text becomes its set of 5-word shingles (64-bit hashes), ``PERMS``
    minima, one key per band of ``ROWS`` minima, and a signature of the low
    ``BITS`` bits of each minimum, packed.
-2. Texts with one shingle set are one class, its smallest id stands for it.
+2. Texts with one shingle set are one class. The search runs on numbers of
+   the classes, so rows that share an id (or have none) keep their own sets.
 3. Classes that share a band key are candidates. A bucket never becomes all
    its pairs: in ``STARS`` rounds one member of it (another in every band and
    round), the centre, is compared with those of other components, and then
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import cut
+from tarmac.llm.common import cut, text_or_empty
 from tarmac.llm.components import components
 
 WIDTH = 5                     # words in a shingle
@@ -110,8 +111,8 @@ def least_estimate(percent: int = PERCENT) -> float:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``id, n, class, bands, sig`` of ``docs`` (id, text); ``class`` is a
-    128-bit digest of the shingle set, null without one."""
+    """``id, tie, n, class, bands, sig`` of ``docs`` (id, text, tie);
+    ``class`` is a 128-bit digest of the shingle set, null without one."""
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             n, digest, bands, sig = [], [], [], []
@@ -128,21 +129,22 @@ def signatures(docs: DataFrame) -> DataFrame:
                     bands.append([])
                     sig.append(None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
-                 pa.array(sig, pa.binary())], names=["id", "n", "class", "bands", "sig"])
+                [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
+                 pa.array(sig, pa.binary())], names=["id", "tie", "n", "class", "bands", "sig"])
 
-    return docs.mapInArrow(batches, "id long, n long, class binary, bands array<long>, sig binary")
+    return docs.mapInArrow(batches, "id long, tie long, n long, class binary, bands array<long>, sig binary")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
+    """``class, set`` of ``docs`` (id, text)."""
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for i in range(0, b.num_rows, 64):
-                part = b.slice(i, 64)
+                sets = [shingles(t.as_py()).tobytes() for t in b.column(1).slice(i, 64)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([shingles(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], names=["id", "set"])
+                    [pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["class", "set"])
 
-    return docs.mapInArrow(batches, "id long, set binary")
+    return docs.mapInArrow(batches, "class binary, set binary")
 
 
 def _passing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -259,25 +261,27 @@ def _block_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent:
     return dealt.groupBy("key", "r", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per input row: ``id_col, n_shingles, component_id, kept``.
-
-    Null, empty and wordless texts have no shingles and are linked with
-    nothing. Rows with the same id are one document. A null id comes after
-    all others; a component of null ids alone has a null ``component_id`` and
-    is kept. An empty table gives an empty result; other columns aren't read.
-    """
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per input row: ``id, tie, n, component, kept``; ``tie`` is a
+    hash of the text, a null id is ``LAST_ID``. A component has the smallest
+    id in it; of the shingle sets with that id the one with the least digest
+    is kept."""
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).alias("text"))
-    printed = cut(signatures(plain))
-    classes = printed.where("class is not null").groupBy("class").agg(F.min("id").alias("rep"))
-    # a null class joins with nothing
-    member = cut(printed.select("id", "n", "class").join(classes, "class", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
-    reps = printed.join(classes.select("class", F.col("rep").alias("id")), ["class", "id"], "left_semi").select("id", "n", "bands", "sig").dropDuplicates(["id", "sig"])
+    printed = cut(signatures(plain.withColumn("tie", F.xxhash64(text_or_empty("text")))))
+    # a number per class; the cut keeps them as they are
+    classes = cut(printed.where("class is not null").groupBy("class").agg(F.min("id").alias("first"))
+                  .withColumn("node", F.monotonically_increasing_id()))
+    reps = (printed.join(classes.select("class", F.col("first").alias("id"), "node"), ["class", "id"])
+            .select(F.col("node").alias("id"), "n", "bands", "sig").dropDuplicates(["id"]))
     rows = reps.select("id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("key")
     members = cut(rows.join(shared, "key").select("key", "id").distinct())
     involved = members.select("id").distinct()
-    sets = cut(_sets(plain.join(involved, "id", "left_semi")).dropDuplicates(["id"])) if not involved.isEmpty() else None
+    sets = None
+    if not involved.isEmpty():
+        wanted = classes.join(involved.withColumnRenamed("id", "node"), "node", "left_semi")
+        sets = cut(_sets(plain.join(wanted.select(F.col("first").alias("id")).distinct(), "id", "left_semi"))
+                   .dropDuplicates(["class"]).join(wanted, "class").select(F.col("node").alias("id"), "set"))
     reps = cut(reps.join(involved, "id", "left_semi").select("id", "n", "sig"))
 
     links, tested, comp = None, None, None
@@ -306,13 +310,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 break
         else:
             add(cut(_block_links(left, reps, sets, percent)))
-        joined = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+        placed_classes = classes.join(comp.withColumnRenamed("node", "of"), F.col("node") == F.col("of"))
+        best = placed_classes.groupBy("component").agg(F.min(F.struct("first", "class")).alias("best"))
+        ends = placed_classes.join(best, "component").select("class", F.col("best.first").alias("found"), (F.col("class") == F.col("best.class")).alias("head"))
+        classes = classes.select("class", "first").join(ends, "class", "left")
     else:
-        joined = member.withColumn("component", F.lit(None).cast("long"))
-    found = F.coalesce("component", "rep")
+        classes = classes.select("class", "first", F.lit(None).cast("long").alias("found"), F.lit(None).cast("boolean").alias("head"))
+    # a null class joins with nothing
+    return printed.select("id", "tie", "n", "class").join(classes, "class", "left").select(
+        "id", "tie", "n", F.coalesce("found", "first", "id").alias("component"),
+        (F.coalesce("head", F.lit(True)) & (F.col("id") == F.coalesce("first", "id"))).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per input row: ``id_col, n_shingles, component_id, kept``.
+
+    Null, empty and wordless texts have no shingles and are linked with
+    nothing. Rows with the same id and shingle set are one document; rows with
+    the same id and other sets are documents of their own. A null id comes
+    after all others; a component of null ids alone has a null
+    ``component_id``, and one of its documents is kept. An empty table gives
+    an empty result; other columns aren't read.
+    """
     null = F.lit(None).cast("long")
-    return joined.select(F.when(F.col("id") != LAST_ID, F.col("id")).otherwise(null).alias(id_col), F.col("n").alias("n_shingles"),
-                         F.when(found != LAST_ID, found).otherwise(null).alias("component_id"), (F.col("id") == found).alias("kept"))
+    return judged(docs, id_col, text_col, percent).select(
+        F.when(F.col("id") != LAST_ID, F.col("id")).otherwise(null).alias(id_col), F.col("n").alias("n_shingles"),
+        F.when(F.col("component") != LAST_ID, F.col("component")).otherwise(null).alias("component_id"), "kept")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` whose document is kept, told by id and text."""
+    gone = judged(docs, id_col, text_col, percent).where("not kept").select(F.col("id").alias("gone id"), F.col("tie").alias("gone tie")).distinct()
+    key = [F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)), F.xxhash64(text_or_empty(docs[text_col]))]
+    return docs.join(gone, (key[0] == gone["gone id"]) & (key[1] == gone["gone tie"]), "left_anti")
 
 
 ORACLE = r"""

@@ -227,3 +227,35 @@ def test_windows_cover_every_qualifying_run():
         found = [(lo, hi) for lo, hi, _ in linededup.windows(*linededup.line_hashes(t))]
         for lo, hi in qualifying(t)[1]:
             assert set().union(*[range(a, b) for a, b in found if lo <= a and b <= hi]) == set(range(lo, hi))
+
+
+def shared_id_rows():
+    """Null and repeated ids with other texts, near copies among them."""
+    out = [(None if i % 3 else 5, t, "en", "s") for i, (_, t, *_) in enumerate(near_rows())]
+    return out + [(r[0] + 100, *r[1:]) for r in near_rows()[::4]] + [(None, None, "en", "s"), (5, "", "en", "s")]
+
+
+def check_shared_ids(spark, percent):
+    import corpus_pipeline
+    rows = shared_id_rows()
+    # the same texts under numbers of their own, in the order of the ids
+    order = sorted(range(len(rows)), key=lambda i: minhash.LAST_ID if rows[i][0] is None else rows[i][0])
+    comp = jaccard_components([(at, *rows[i][1:]) for at, i in enumerate(order)], percent)
+    want = sorted((str(rows[i][0]), comp[at][0], str(rows[order[comp[at][1]]][0])) for at, i in enumerate(order))
+    got = minhash.near_duplicates(data.frame(spark, rows), percent=percent).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
+    assert sum(r.kept for r in got) == len({c for _, c in comp.values()})
+    if percent == corpus_pipeline.NEAR_PERCENT:
+        texts = {rows[i][1]: comp[at][1] for at, i in enumerate(order)}
+        left = [r.text for r in corpus_pipeline.near_duplicates(spark, data.frame(spark, rows), "").collect()]
+        assert sorted(texts[t] for t in left) == sorted({c for _, c in comp.values()})
+
+
+def test_near_duplicates_of_texts_that_share_an_id(spark):
+    check_shared_ids(spark, 80)
+
+
+def test_near_duplicates_of_texts_that_share_an_id_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "STARS", 0)
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    check_shared_ids(spark, 80)
