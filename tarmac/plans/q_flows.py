@@ -9,11 +9,10 @@ from tarmac.fixtures import oracle_with
 from tarmac.operators import models as MD
 from tarmac.plans import flows as FL
 from tarmac.plans.catalog import load, query, r6
-from tarmac.plans.q_models import SPACE, bundle
+from tarmac.plans.q_models import N_TRIALS, SPACE, bundle
 from tarmac.plans.q_split import _FWS_SQL
 from tarmac.session import scratch_path
 
-FLOW_TRIALS = 3     # the ten-trial search is the query tune_classifier / tune_regressor
 _PREP_COLS = ["year", "month", "carrier", "airport", "split", "high_delay_risk", "delay_rate"] + S.WEATHER_COLUMNS
 
 
@@ -32,7 +31,7 @@ def q_train_and_log(spark, sf):
     out = scratch_path(spark, "prepared")
     FL.prepare_datasets(spark, load(spark, sf, "flights_raw"), load(spark, sf, "weather_daily"), out)
     runs = FL.train_and_log(spark, f"{out}/splits", scratch_path(spark, "runs"), scratch_path(spark, "models"),
-                            SPACE, FLOW_TRIALS, parallelism=4)
+                            SPACE, N_TRIALS, parallelism=4)
     return runs.select("run_name", "status", F.explode("metrics").alias("metric", "value"))
 
 

@@ -29,3 +29,23 @@ def test_prepare_train_explain(spark):
     train = prepared.where("split = 'train'").withColumn("row_id", F.monotonically_increasing_id())
     ov = flows.explain_report(spark, models_dir, train, scratch_path(spark, "t_reports")).first()
     assert ov["clf_top_feature"] is not None and ov["reg_top_feature"] is not None
+
+
+def test_registered_flow_searches_ten_trials(spark, monkeypatch):
+    """The reference's search has ten trials for each model."""
+    from tarmac.plans import q_flows
+    asked = []
+
+    class Asked(Exception):
+        pass
+
+    def tune(tr, va, kind, trials, *rest):
+        asked.append(len(trials))
+        raise Asked
+
+    monkeypatch.setattr(MD, "tune", tune)
+    try:
+        q_flows.q_train_and_log(spark, SF0001)
+    except Asked:
+        pass
+    assert asked == [10]
