@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tarmac.llm import bpe, exactdedup, hostrep, kneser, langid, linededup, minhash, mixing, qualityrules, toolcalls
+from tarmac.llm import (
+    bpe, exactdedup, filteraudit, hostrep, kneser, langid, linededup, minhash, mixing, periodicruns, qualityrules, toolcalls, toxicity)
 from tarmac.llm.common import read_table
 
 # The vocabulary file's place; it is read on the driver only.
@@ -49,7 +50,20 @@ def op10_line_dedup(spark, sf_dir):
     return linededup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    return filteraudit.audit_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    return periodicruns.digest(read_table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark, sf_dir):
+    return toxicity.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_tool_calls, op3_host_reputation, op4_exact_dedup, op5_quality_rules, op6_minhash_near_dedup, op7_source_mixing, op8_bpe, op9_kneser_ney, op10_line_dedup)}
+    op1_language_id, op2_tool_calls, op3_host_reputation, op4_exact_dedup, op5_quality_rules, op6_minhash_near_dedup, op7_source_mixing, op8_bpe, op9_kneser_ney, op10_line_dedup,
+    op11_filter_audit, op12_periodic_runs, op13_toxicity)}
 ORACLE = {"op2_tool_calls": toolcalls.ORACLE, "op3_host_reputation": hostrep.ORACLE, "op4_exact_dedup": exactdedup.ORACLE, "op5_quality_rules": qualityrules.ORACLE,
-          "op6_minhash_near_dedup": minhash.ORACLE}
+          "op6_minhash_near_dedup": minhash.ORACLE, "op11_filter_audit": filteraudit.ORACLE, "op12_periodic_runs": periodicruns.ORACLE}
