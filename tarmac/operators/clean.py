@@ -92,8 +92,9 @@ def risk_buckets(df: DataFrame, proba_col: str = "high_delay_risk_proba") -> Dat
     })
 
 
-def feature_projection(df: DataFrame, feature_set: str = "reference") -> DataFrame:
-    """Project the model features in fixed order."""
+def feature_projection(df: DataFrame, feature_set: str = S.DEFAULT_FEATURES) -> DataFrame:
+    """Project the model features in fixed order (P3/E6): the honest set
+    unless another is named."""
     cols = S.FEATURE_SETS[feature_set]
     require_columns(df, cols)
     return df.select(*cols)

@@ -121,10 +121,13 @@ def runs_display(runs: DataFrame, stage_col: str = "tags.stage") -> DataFrame:
 
 
 def best_run(runs: DataFrame, metric: str, maximize: bool) -> DataFrame:
-    """The row with the best non-null metric, first run_id on ties. An
-    empty result is an error for the caller (no run with the metric)."""
+    """The row with the best metric (neither null nor NaN), first run_id on
+    ties. Raises when no run has the metric."""
     order = F.col(metric).desc() if maximize else F.col(metric).asc()
-    return runs.where(F.col(metric).isNotNull()).orderBy(order, F.col("run_id")).limit(1)
+    best = runs.where(F.col(metric).isNotNull() & ~F.isnan(metric)).orderBy(order, F.col("run_id")).limit(1).collect()
+    if not best:
+        raise ValueError(f"no run has the metric {metric}")
+    return runs.sparkSession.createDataFrame(best, runs.schema)     # one row
 
 
 def model_summary(runs: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from tarmac import schema as S
 from tarmac.functions import exprs as X
 from tarmac.operators.clean import mandatory_features
 from tarmac.operators import models as MD
+from tarmac.operators.ensembles import Compiled
 from tarmac.operators.models import prob1
 
 CORRUPT = "_corrupt"
@@ -70,9 +71,13 @@ def request_features(valid: DataFrame) -> DataFrame:
     return mandatory_features(df).drop("high_delay_risk")
 
 
-def score(df: DataFrame, clf: PipelineModel, reg: PipelineModel, keep: list[str]) -> DataFrame:
+def score(df: DataFrame, clf: PipelineModel | Compiled, reg: PipelineModel | Compiled, keep: list[str]) -> DataFrame:
     """Probability of high delay risk, label at 0.5, predicted minutes per
-    flight. Models that were fitted with one encoder encode each row once."""
+    flight. Compiled models (``ensembles.Compiled``) are expressions over the
+    columns; fitted models that share one encoder encode each row once."""
+    if isinstance(clf, Compiled):
+        s = reg.score(clf.score(df, "high_delay_risk_proba"), "avg_delay_pred").select(*keep, "high_delay_risk_proba", "avg_delay_pred")
+        return s.withColumn("high_delay_risk_label", X.risk_label("high_delay_risk_proba"))
     both = clf.transform(df).select(*df.columns, prob1(F.col("probability")).alias("high_delay_risk_proba"),
                                     *(["features"] if MD.same_encoder(clf, reg) else []))
     predicted = reg.stages[-1].transform(both) if MD.same_encoder(clf, reg) else reg.transform(both)
@@ -80,7 +85,7 @@ def score(df: DataFrame, clf: PipelineModel, reg: PipelineModel, keep: list[str]
     return s.withColumn("high_delay_risk_label", X.risk_label("high_delay_risk_proba"))
 
 
-def score_batch(requests: DataFrame, clf: PipelineModel, reg: PipelineModel, id_col: str = "request_id") -> DataFrame:
+def score_batch(requests: DataFrame, clf: PipelineModel | Compiled, reg: PipelineModel | Compiled, id_col: str = "request_id") -> DataFrame:
     """K1: validated requests -> proba, label, predicted avg delay per flight."""
     feats = request_features(validate_requests(requests).where("valid"))
     return score(feats, clf, reg, [id_col]).select(
@@ -88,7 +93,7 @@ def score_batch(requests: DataFrame, clf: PipelineModel, reg: PipelineModel, id_
         F.col("avg_delay_pred").alias("avg_delay_per_flight"))
 
 
-def score_batch_risk(requests: DataFrame, clf: PipelineModel, reg: PipelineModel,
+def score_batch_risk(requests: DataFrame, clf: PipelineModel | Compiled, reg: PipelineModel | Compiled,
                      id_col: str = "request_id") -> DataFrame:
     """K2: keep the input fields, add probability, minutes and HIGH/LOW."""
     feats = request_features(validate_requests(requests).where("valid")).drop("errors", "valid")

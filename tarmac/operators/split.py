@@ -27,19 +27,21 @@ def hash_unit(keys: list[str]) -> F.Column:
 def stratified_split(df: DataFrame, label: str = S.TARGET_CLASSIFICATION,
                      keys: list[str] = BUSINESS_KEY, train: float = 0.70, val: float = 0.15,
                      split_col: str = "split") -> DataFrame:
-    """Add ``split`` in {train, val, test} stratified on ``label``."""
+    """Add ``split`` in {train, val, test} stratified on ``label``; rows
+    without a label are a stratum of their own."""
     c1, c2 = train, train + val
-    withu = df.withColumn("_u", hash_unit(keys))
-    cuts = exact_quantiles(withu, [label], "_u", [c1, c2])
+    stratum = F.when(F.col(label).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(label).cast("string")))
+    withu = df.withColumn("_u", hash_unit(keys)).withColumn("_stratum", stratum)
+    cuts = exact_quantiles(withu, ["_stratum"], "_u", [c1, c2])
     # one row per label value: bounded by the number of classes
-    cut = (cuts.groupBy(label)
+    cut = (cuts.groupBy("_stratum")
                .agg(F.max(F.when(F.col("prob") == c1, F.col("quantile"))).alias("_c1"),
                     F.max(F.when(F.col("prob") == c2, F.col("quantile"))).alias("_c2")))
-    out = withu.join(F.broadcast(cut), label, "left")
+    out = withu.join(F.broadcast(cut), "_stratum", "left")
     s = (F.when(F.col("_u") <= F.col("_c1"), F.lit("train"))
           .when(F.col("_u") <= F.col("_c2"), F.lit("val"))
           .otherwise(F.lit("test")))
-    return out.withColumn(split_col, s).drop("_u", "_c1", "_c2")
+    return out.withColumn(split_col, s).drop("_stratum", "_u", "_c1", "_c2")
 
 
 def union_splits(parts: dict[str, DataFrame], split_col: str = "split") -> DataFrame:
@@ -51,12 +53,6 @@ def union_splits(parts: dict[str, DataFrame], split_col: str = "split") -> DataF
     return out
 
 
-def select_splits(df: DataFrame, names: list[str], split_col: str = "split") -> DataFrame:
-    """W7 with one table: ``split IN (...)`` (partition pruning on a
-    split-partitioned table)."""
-    return df.where(F.col(split_col).isin(names))
-
-
 def missing_by_split(df: DataFrame, cols: list[str], split_col: str = "split") -> DataFrame:
     """Missing rate of ``cols`` per split."""
     return df.groupBy(split_col).agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in cols])

@@ -17,6 +17,7 @@ from tarmac.operators import explain as H
 from tarmac.operators import models as MD
 from tarmac.operators import runs as R
 from tarmac.operators import score as SC
+from tarmac.operators.ensembles import Compiled
 from tarmac.plans.catalog import load, query, r6
 from tarmac.plans.q_split import _FWS_SQL, split_weather
 from tarmac.session import scratch_path
@@ -83,6 +84,9 @@ class _Bundle:
         if key == "reg":
             return self._get(key, lambda: MD.train_final(self["parts"]["train"], self["parts"]["val"], FEATURES,
                                                          S.TARGET_REGRESSION, "regressor", FINAL_GBT))
+        if key in ("clf_sql", "reg_sql"):       # the fitted model as expressions
+            kind = "classifier" if key == "clf_sql" else "regressor"
+            return self._get(key, lambda: Compiled.of(self[key[:3]], FEATURES, kind))
         raise KeyError(key)
 
 
@@ -259,13 +263,13 @@ def q_validate_requests(spark, sf):
 @query("score_batch")
 def q_score_batch(spark, sf):
     b = bundle(spark, sf)
-    return SC.score_batch(load(spark, sf, "score_requests"), b["clf"], b["reg"])
+    return SC.score_batch(load(spark, sf, "score_requests"), b["clf_sql"], b["reg_sql"])
 
 
 @query("score_batch_risk")
 def q_score_batch_risk(spark, sf):
     b = bundle(spark, sf)
-    return SC.score_batch_risk(load(spark, sf, "score_requests"), b["clf"], b["reg"])
+    return SC.score_batch_risk(load(spark, sf, "score_requests"), b["clf_sql"], b["reg_sql"])
 
 
 # ---------------------------------------------------------------- attributions
@@ -453,7 +457,7 @@ def q_stream_score(spark, sf):
     b = bundle(spark, sf)
     src = _land_requests(spark, sf)
     sink, ckpt = scratch_path(spark, "scored_sink"), scratch_path(spark, "scored_ckpt")
-    ST.stream_score(spark, src, b["clf"], b["reg"], sink, ckpt)
+    ST.stream_score(spark, src, b["clf_sql"], b["reg_sql"], sink, ckpt)
     return spark.read.parquet(sink)
 
 
@@ -481,5 +485,5 @@ def q_stream_history_scored(spark, sf):
     src = _land_requests(spark, sf)
     acc, rej, ckpt = (scratch_path(spark, "history_sink"), scratch_path(spark, "rejected"),
                       scratch_path(spark, "history_ckpt"))
-    ST.stream_accept_reject(spark, src, acc, rej, ckpt, b["clf"], b["reg"])
+    ST.stream_accept_reject(spark, src, acc, rej, ckpt, b["clf_sql"], b["reg_sql"])
     return spark.read.parquet(acc).select(*S.HISTORY_COLUMNS, "request_id")

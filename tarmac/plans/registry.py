@@ -13,6 +13,7 @@ _MODULES = [
     "tarmac.plans.q_models",
     "tarmac.plans.q_flows",
     "tarmac.plans.q_checks",
+    "tarmac.plans.q_boost",
 ]
 
 

@@ -139,3 +139,10 @@ def test_history_of_an_unreachable_store_is_an_error(spark):
     assert IO.history_load(spark, scratch_path(spark, "none")).count() == 0
     with pytest.raises(Exception, match="No FileSystem|UnsupportedFileSystem|nosuch"):
         IO.history_load(spark, "nosuch://store/history")
+
+
+def test_no_run_with_the_metric_raises(spark):
+    runs = spark.createDataFrame([("r1", None, 0.5), ("r2", float("nan"), 0.4)], "run_id string, test_auc double, test_rmse double")
+    with pytest.raises(ValueError, match="test_auc"):
+        R.best_run(runs, "test_auc", True)
+    assert R.best_run(runs, "test_rmse", False).first()["run_id"] == "r2"

@@ -24,6 +24,17 @@ def test_split_sizes_within_one_row(spark):
     assert again.count() == 0
 
 
+def test_rows_without_a_label_are_a_stratum(spark):
+    df = spark.range(0, 1200).select(
+        F.lit(2000).alias("year"), F.lit(1).alias("month"), F.lit("C").alias("carrier"), F.col("id").cast("string").alias("airport"),
+        F.when(F.col("id") % 3 > 0, (F.col("id") % 3 - 1).cast("int")).alias("high_delay_risk"))
+    out = SP.stratified_split(df)
+    assert out.columns == [*df.columns, "split"]
+    for label in (None, 0, 1):
+        n = {r["split"]: r["count"] for r in out.where(F.col("high_delay_risk").eqNullSafe(F.lit(label))).groupBy("split").count().collect()}
+        assert abs(n["train"] - 280) <= 1 and abs(n["val"] - 60) <= 1.5 and sum(n.values()) == 400
+
+
 def test_population_scaler(spark):
     df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (3.0, 5.0)], "a double, b double")
     m = EN.scaler_stage(df, ["a", "b"], "__z")
