@@ -15,31 +15,39 @@ Encoding reads a word byte by byte through a transition table. A state of
 the table holds the longest suffix read that may still begin a token and, for
 each position in it, the arc that enters that position on the word's only
 path: of all tokens that end at a position exactly one continues such a path.
-The table is filled as transitions are met, so a byte costs a lookup.
-Decoding emits the arc labels.
+The table is filled as transitions are met. The distinct new words of a batch
+advance through it in lock step, a byte at a time, and their paths are read
+back in lock step too. Decoding emits the labels of the arcs that the ids name.
 
 The word splitter is that of the tokenizer file: special tokens first, then
 normal form C, white space to one space, lower case, and the split pattern.
+What is a letter or digit, and its lower case, is asked of the tokenizer
+library's own tables when the file is loaded: Python's and ``regex``'s are of other
+Unicode versions.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
-from array import array
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
-
-CACHED = 400_000       # chunks kept in a worker; then it starts anew
-SLICE = 4 << 20        # characters of text turned into one output batch
-STATES = 500_000       # states of the transition table; then it starts anew
+from tokenizers import Regex, normalizers
+
+# Bounds of a worker's memory, some 40 MB each: chunks of text kept, of at most
+# so many characters, and states of the transition table; both start anew beyond.
+CACHED, CACHED_CHARS = 200_000, 40
+STATES = 150_000
+SLICE = 2 << 20        # characters of text turned into one output batch
+LOCK_STEP = 64         # bytes; longer words are walked by themselves
 _NEVER = 1 << 60
 _START, _NONE = -1, -2  # in the place of an arc: the word's start; a position on no path
 
@@ -103,8 +111,8 @@ class Table:
         self.known = {("", (_START,)): 0}
         self.held: list[tuple[str, tuple[int, ...]]] = [("", (_START,))]  # suffix; arc into each of its positions
         self.entry: list[tuple[int, int]] = [(_START, 0)]                 # arc into the position read last; its length
-        self.step: list[dict[int, int]] = [{}]
-        self.last: list[dict[int, tuple[int, int]]] = [{}]
+        self.step: dict[int, int] = {}                                    # state * 256 + byte: state
+        self.last: dict[int, tuple[int, int]] = {}                        # the same for a word's last byte: arc, length
         self.live: dict[tuple[int, int], bool] = {}
 
     def _arc(self, state: int, ending: str) -> tuple[int, int]:
@@ -135,33 +143,90 @@ class Table:
             new = self.known[key, found[1]] = len(self.held)
             self.held.append(key)
             self.entry.append(found)
-            self.step.append({})
-            self.last.append({})
-        self.step[state][byte] = new
+        self.step[state * 256 + byte] = new
         return new
 
+    def _last(self, key: int) -> tuple[int, int]:
+        found = self.last.get(key)
+        if found is None:
+            found = self.last[key] = self._arc(key >> 8, self.symbols[key & 255] + self.automaton.end)
+        return found
+
     def path(self, word: bytes) -> list[int]:
         """Tokens of one word."""
-        state, states, step, entry, end = 0, [], self.step, self.entry, word[-1]
-        for byte in word:
-            states.append(state)
-            try:
-                state = step[state][byte]
-            except KeyError:
-                state = self._next(state, byte)
-        state = states[-1]
-        found = self.last[state].get(end)
-        if found is None:
-            found = self.last[state][end] = self._arc(state, self.symbols[end] + self.automaton.end)
-        arc, length = found
+        states, step = [0], self.step
+        for byte in word[:-1]:
+            new = step.get(states[-1] * 256 + byte)
+            states.append(self._next(states[-1], byte) if new is None else new)
+        arc, length = self._last(states[-1] * 256 + word[-1])
         out, at = [arc], len(word) - length
         while at:
-            arc, length = entry[states[at]]
+            arc, length = self.entry[states[at]]
             out.append(arc)
             at -= length
         out.reverse()
         return out
 
+    def paths(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Tokens (int32) of distinct words."""
+        if len(self.held) >= STATES:
+            self.clear()
+        found = {w: np.array(self.path(w), np.int32).tobytes() for w in words if len(w) > LOCK_STEP}
+        words = sorted((w for w in words if len(w) <= LOCK_STEP), key=len, reverse=True)
+        if not words:
+            return found
+        sizes = np.array([len(w) for w in words])
+        longest, n = int(sizes[0]), len(words)
+        read = np.frombuffer(b"".join([w.ljust(longest, b"\0") for w in words]), np.uint8).reshape(n, longest)
+        states = np.zeros((longest, n), np.int64)           # before each byte
+        for k in range(longest - 1):
+            m = int(np.searchsorted(-sizes, -(k + 1), side="left"))     # words with a byte after k
+            keys, place = np.unique(states[k, :m] * 256 + read[:m, k], return_inverse=True)
+            to = [self.step.get(x) for x in keys.tolist()]
+            for i, x in enumerate(to):
+                if x is None:
+                    to[i] = self._next(int(keys[i]) >> 8, int(keys[i]) & 255)
+            states[k + 1, :m] = np.array(to)[place]
+        word = np.arange(n)
+        keys, place = np.unique(states[sizes - 1, word] * 256 + read[word, sizes - 1], return_inverse=True)
+        ends = np.array([self._last(x) for x in keys.tolist()])[place]
+        entry = np.array(self.entry)
+        arcs, owners, at = [ends[:, 0]], [word], sizes - ends[:, 1]
+        while len(word := word[at > 0]):
+            at = at[at > 0]
+            step = entry[states[at, word]]
+            arcs.append(step[:, 0])
+            owners.append(word)
+            at = at - step[:, 1]
+        owner = np.concatenate(owners)
+        # a word's arcs were found last first
+        order = np.lexsort((-np.repeat(np.arange(len(owners)), [len(x) for x in owners]), owner))
+        ids = np.concatenate(arcs)[order].astype(np.int32).tobytes()
+        stop = np.cumsum(np.bincount(owner, minlength=n)) * 4
+        for w, i, j in zip(words, [0, *stop.tolist()], stop.tolist()):
+            found[w] = ids[i:j]
+        return found
+
+
+@lru_cache(maxsize=2)
+def library_tables() -> tuple[dict[int, str], dict[int, str]]:
+    """What the tokenizer library's tables hold of each code point where
+    Python's or ``regex``'s differ: a character of the same class (letter, digit or neither),
+    and its lower case."""
+    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    whole = "".join(chars)
+
+    def of(name: str) -> set[str]:
+        return set(chars).difference(normalizers.Replace(Regex(f"[\\p{{{name}}}]+"), "").normalize_str(whole))
+    letters, digits = of("L"), of("N")
+    known_letters, known_digits = set(regex.findall(r"\p{L}", whole)), set(regex.findall(r"\p{N}", whole))
+    alphas = {c for c in chars if c.isalpha()}
+    classes = {ord(c): "a" if c in letters else "1" if c in digits else "\ue000"
+               for c in (known_letters ^ letters) | (known_digits ^ digits) | (alphas ^ letters)}
+    lower = normalizers.Lowercase().normalize_str("\0".join(chars)).split("\0")
+    folded = {ord(c): x for c, x in zip(chars, lower) if x != c.replace("Σ", "σ").lower()}
+    return classes, folded
+
 
 class Tokenizer:
     """Encoder and decoder of one tokenizer file (``tokenizers`` format, BPE
@@ -175,71 +240,88 @@ class Tokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.symbols = byte_symbols()
-        # letters and digits newer than the tokenizer's character tables: neither, for its split pattern
-        self.unassigned = "".join(c for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, range(0xE000))) + "".join(
-            map(chr, range(0xF000, 0x32000)))) if unicodedata.category(c) == "Cn")
+        self.classes, self.folded = library_tables()
         self._ready()
 
     def _ready(self) -> None:
         self.split = regex.compile(self.pattern)
-        self.newer = dict.fromkeys(map(ord, self.unassigned), "\ue000")
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.table = Table(self.automaton, self.symbols)
-        self.chunks: dict[str, tuple[bytes, str]] = {}
-        self.names = self.automaton.labels | {i: t for t, i in self.special.items()}
+        self.chunks: dict[str, bytes] = {}
+        names = self.automaton.labels | {i: t for t, i in self.special.items()}
+        self.labels = pa.array([names.get(i) for i in range(max(names) + 1)], pa.large_string())
 
     def __getstate__(self):
-        return {k: self.__dict__[k] for k in ("automaton", "special", "pattern", "symbols", "unassigned")}
+        return {k: self.__dict__[k] for k in ("automaton", "special", "pattern", "symbols", "classes", "folded")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self._ready()
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids (as int32 bytes) and labels of a stretch without a plain space,
-        line break or special token."""
+    def _words(self, chunk: str) -> list[bytes]:
+        """Words of a stretch without a plain space, line break or special token."""
         if chunk.isascii():
             text = plain = chunk.lower()
         else:
             # lower case works character by character: capital sigma has no final form here
             text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-            plain = text if self.newer.keys().isdisjoint(map(ord, text)) else text.translate(self.newer)
+            points = set(map(ord, text))
+            if not self.folded.keys().isdisjoint(points):
+                text = text.translate(self.folded)
+            plain = text if self.classes.keys().isdisjoint(points) else text.translate(self.classes)
         words = [text] if plain.isalpha() else [text[m.start():m.end()] for m in self.split.finditer(plain)]
-        path = self.table.path
-        ids = array("i", [i for word in words for i in path(word.encode("utf-8", "replace"))])
-        found = ids.tobytes(), " ".join([self.names[i] for i in ids])
-        if len(self.chunks) >= CACHED:
-            self.chunks.clear()
-        if len(self.table.held) >= STATES:
-            self.table.clear()
-        self.chunks[chunk] = found
-        return found
+        return [w.encode("utf-8", "replace") for w in words]
 
-    def run(self, text: str | None) -> tuple[bytes, str]:
-        """Ids and labels of a whole text (null: empty)."""
+    def _parts(self, text: str | None) -> list[str | bytes]:
+        """Chunks of a whole text, and special tokens as their ids."""
         if not text:
-            return b"", ""
-        ids, labels, at = [], [], 0
+            return []
         spans = [m.span() for m in self.marks.finditer(text)] if "<|" in text else []
+        if not spans:
+            return text.replace("\n", " ").split(" ")
+        out: list[str | bytes] = []
+        at = 0
         for a, b in [*spans, (len(text), len(text))]:
-            for chunk in text[at:a].replace("\n", " ").split(" "):
-                if chunk:
-                    found = self.chunks.get(chunk) or self._chunk(chunk)
-                    if found[0]:
-                        ids.append(found[0])
-                        labels.append(found[1])
+            out += text[at:a].replace("\n", " ").split(" ")
             if a < b:
-                mark = self.special[text[a:b]]
-                ids.append(np.int32(mark).tobytes())
-                labels.append(self.names[mark])
+                out.append(np.int32(self.special[text[a:b]]).tobytes())
             at = b
-        return b"".join(ids), " ".join(labels)
+        return out
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """Ids (int32) of whole texts."""
+        parts = [self._parts(t) for t in texts]
+        used = set().union(*parts)
+        new = [p for p in used if type(p) is str and p not in self.chunks]
+        if len(self.chunks) + len(new) > CACHED:
+            self.chunks = {}
+            new = [p for p in used if type(p) is str]
+        words = [self._words(c) for c in new]
+        ids = self.table.paths(list({w for ws in words for w in ws}))
+        self.chunks.update((c, b"".join([ids[w] for w in ws])) for c, ws in zip(new, words))
+        known = self.chunks.get
+        out = [b"".join([known(p, p) for p in x]) for x in parts]
+        for c in new:
+            if len(c) > CACHED_CHARS:
+                del self.chunks[c]
+        return out
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.run(text)[0], np.int32).tolist()
+        return np.frombuffer(self.encode_batch([text])[0], np.int32).tolist()
+
+    def decode_arrays(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Labels of each row's ids joined by a space; ids that the vocabulary
+        lacks are skipped. Row i's ids are ``ids[ends[i]:ends[i + 1]]``."""
+        there = (ids >= 0) & (ids < len(self.labels))
+        labels = self.labels.take(pa.array(np.where(there, ids, 0)))
+        there &= labels.is_valid().to_numpy(zero_copy_only=False)
+        rows = np.concatenate(([0], np.cumsum(there)))[ends]
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(rows.astype(np.int64), labels.filter(pa.array(there))), pa.scalar(" ", pa.large_string()))
+        return joined.cast(pa.string())
 
     def decode(self, ids: list[int] | None) -> str:
-        return " ".join(self.names[i] for i in ids or [] if i in self.names)
+        found = np.array(ids or [], np.int64)
+        return self.decode_arrays(found, np.array([0, len(found)]))[0].as_py()
 
 
 def load(path: str) -> Tokenizer:
@@ -264,13 +346,13 @@ def _sliced(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
 
 def _encode(it: Iterator[pa.RecordBatch], sent, names: list[str], labels: bool) -> Iterator[pa.RecordBatch]:
     """The text is the last column; it doesn't come back."""
-    run = sent.value.run
+    tokenizer = sent.value
     for batch in it:
         for b in _sliced(batch, batch.num_columns - 1):
-            found = [run(t.as_py()) for t in b.columns[-1]]
-            ends = np.cumsum([0, *(len(x[0]) // 4 for x in found)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(x[0] for x in found), np.int32)))
-            out = [*b.columns[:-1], ids, *([pa.array([x[1] for x in found], pa.string())] if labels else [])]
+            found = tokenizer.encode_batch(b.columns[-1].to_pylist())
+            ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
+            flat = np.frombuffer(b"".join(found), np.int32)
+            out = [*b.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *([tokenizer.decode_arrays(flat, ends)] if labels else [])]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
 
@@ -278,7 +360,7 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", ids_col
                      decoded_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all if not named) with the token ids
     of the whole text (null: no tokens) as array<int> ``ids_col``, and the
-    labels of their arcs as string ``decoded_col`` if named. Columns of these
+    decoded ids as string ``decoded_col`` if named. Columns of these
     names are replaced; every row, repeated ones too, is encoded by itself.
     Empty tables stay empty."""
     new = [ids_col, *([decoded_col] if decoded_col else [])]
@@ -293,8 +375,10 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", ids_col
 
 def _decode(it: Iterator[pa.RecordBatch], sent, at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     for b in it:
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([sent.value.decode(x.as_py()) for x in b.column(at)], pa.string())],
-                                         names=names)
+        ids = pc.fill_null(b.column(at), pa.scalar([], b.column(at).type))
+        sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
+        flat = pc.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([*b.columns, sent.value.decode_arrays(flat, np.concatenate(([0], np.cumsum(sizes))))], names=names)
 
 
 def decode_documents(docs: DataFrame, path: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from tarmac.llm import (
     bpe, exactdedup, filteraudit, hostrep, kneser, langid, linededup, minhash, mixing, periodicruns, qualityrules, toolcalls, toxicity)
 from tarmac.llm.common import read_table
 
 # The vocabulary file's place; it is read on the driver only.
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_language_id(spark, sf_dir):

@@ -5,7 +5,9 @@ Examples are labelled texts outside the held-out fifth, at most
 vector over a learnt vocabulary: its words and the beginnings of its words
 (four to six letters, so inflections of a stem meet), weighted
 (1 + ln tf) * ln(N / df) and scaled to length one. The vocabulary holds the
-``MAX_TERMS`` terms that are most over-represented among toxic examples.
+``MAX_TERMS`` terms that are most over-represented among toxic examples; terms
+of more than a twentieth of the examples must be so by ``MIN_SCORE`` standard
+deviations, for their postings are long and their weights small.
 
 The index is inverted and cut into blocks of ``BLOCK`` examples (sorted by
 their heaviest terms, so that a block's examples are alike): a term's postings
@@ -42,6 +44,7 @@ from tarmac.llm.common import cut
 MAX_EXAMPLES = 16384    # the bounded sample of labelled rows
 MAX_TERMS = 2048
 MIN_DOCS = 5            # examples that hold a term of the vocabulary
+MAX_SHARE, MIN_SCORE = 0.05, 10.0   # more frequent terms need a toxic count so many standard deviations above chance
 PREFIXES = (4, 5, 6)
 NEAREST = 16
 BLOCK = 64
@@ -113,7 +116,7 @@ def vocabulary(sample: DataFrame, most: int = MAX_TERMS) -> tuple[dict[str, floa
     score = (F.col("toxic") - F.col("df") * share) / F.sqrt(F.col("df") * (share * (1 - share)))
     best = (counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("toxic").alias("toxic"))
             .where((F.col("df") >= MIN_DOCS) & (F.col("df") < total)).select("term", "df", F.round(score, 9).alias("score"))
-            .where("score > 0").orderBy(F.desc("score"), "term").limit(most).collect())
+            .where((F.col("score") > 0) & ((F.col("df") <= MAX_SHARE * total) | (F.col("score") >= MIN_SCORE))).orderBy(F.desc("score"), "term").limit(most).collect())
     return {r.term: math.log(total / r.df) for r in best}, total
 
 
