@@ -10,7 +10,8 @@
    round), the centre, is compared with those of other components, and then
    leaves the bucket. (More rounds save block comparisons but cost rounds of
    small shuffles; the result is the same.) What is still in different components after that is
-   compared in blocks of about ``BLOCK`` by block inside a task: signatures
+   compared block by block inside a task (a block has about ``BLOCK`` rows,
+   fewer of long texts: ``BLOCK_SHINGLES`` shingles): signatures
    first, then the full sets of the pairs that pass; only links that join
    components come out. Members of a bucket's largest component aren't
    compared with each other.
@@ -42,7 +43,7 @@ PERCENT = 85                  # 100 * intersection >= PERCENT * union
 ROWS, BANDS, BITS = 5, 24, 4
 PERMS = ROWS * BANDS
 STARS = 1
-BLOCK = 1024
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20   # rows, and shingles (8 MB of hashes), that a block holds about
 LAST_ID = 2 ** 63 - 1         # stands for a null id
 _WORDS_KEPT = 200_000
 
@@ -209,11 +210,13 @@ def _block_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent:
     pairs that pass, those that the full sets confirm and that join two
     components not joined before in the block. The bucket's largest component
     (role 0) meets only the others."""
-    sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
-    largest = (sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("big"), F.sum("size").alias("all"))
-               .select("key", F.col("big.comp").alias("big"), F.col("big.size").alias("n0"), (F.col("all") - F.col("big.size")).alias("n1")))
+    sizes = (members.join(reps.select("id", "n"), "id").groupBy("key", "comp")
+             .agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")))
+    largest = (sizes.groupBy("key").agg(F.max(F.struct("size", "comp", "shingles")).alias("big"), F.sum("size").alias("all"), F.sum("shingles").alias("held"))
+               .select("key", F.col("big.comp").alias("big"), F.col("big.size").alias("n0"), (F.col("all") - F.col("big.size")).alias("n1"),
+                       F.col("big.shingles").alias("s0"), (F.col("held") - F.col("big.shingles")).alias("s1")))
     role = F.when(F.col("comp") == F.col("big"), 0).otherwise(1)
-    blocks = [F.ceil(F.col(n) / BLOCK).cast("int") for n in ("n0", "n1")]
+    blocks = [F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(s) / BLOCK_SHINGLES)).cast("int") for n, s in (("n0", "s0"), ("n1", "s1"))]
     here = F.pmod(F.xxhash64("id"), F.when(F.col("role") == 0, blocks[0]).otherwise(blocks[1])).cast("int")
     # a block of the others meets every block: the largest component's, its own, and each later one of the others
     meets = F.when(F.col("role") == 0, F.transform(F.sequence(F.lit(0), blocks[1] - 1), lambda j: F.struct(F.lit(0).alias("r"), F.col("block").alias("i"), j.alias("j"))))\
