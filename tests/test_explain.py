@@ -132,3 +132,24 @@ def test_least_squares_check_can_fail(spark):
     assert Q.normal_equations(exact, df).first()["orthogonal"] == 1
     shrunk = LinearRegression(solver="normal", regParam=0.5).fit(df)
     assert Q.normal_equations(shrunk, df).first()["orthogonal"] == 0
+
+
+def test_quadrature_is_the_recursion_with_one_hot_slots():
+    """Random trees over numeric and two-valued slots, repeated features on a
+    path included."""
+    rng = np.random.default_rng(3)
+
+    def grow(depth):
+        if depth == 0 or rng.random() < 0.15:
+            return [(float(rng.normal()), [])]
+        f = int(rng.integers(0, 6))
+        thr, ncat = ([float(rng.integers(0, 2))], 2) if f >= 4 else ([float(rng.normal())], -1)
+        ratio = float(rng.uniform(0.05, 0.95))
+        return [(v, [(f, True, thr, ncat, ratio), *path]) for v, path in grow(depth - 1)] + \
+               [(v, [(f, False, thr, ncat, 1 - ratio), *path]) for v, path in grow(depth - 1)]
+    trees = [(float(rng.uniform(0.1, 1)), grow(d)) for d in (1, 2, 3, 5, 8, 9)]
+    X = np.hstack([rng.normal(size=(60, 4)), rng.integers(0, 2, size=(60, 2)).astype(float)])
+    fast = H.compile_vectorised(trees)
+    assert fast is not None
+    assert np.abs(H.shap_matrix(X, trees) - H.shap_matrix_vectorised(X, fast, chunk=25)).max() < 1e-9
+    assert H.compile_vectorised([(1.0, [(1.0, [(0, True, [0.0, 2.0], 3, 0.5)]), (2.0, [(0, False, [0.0, 2.0], 3, 0.5)])])]) is None
