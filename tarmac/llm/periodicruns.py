@@ -39,8 +39,8 @@ RUN = "struct<start:long,length:long,period:long>"
 
 
 def _numbered(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of each value, how often it occurs, distance to its latest
-    earlier place in the array's order or 0)."""
+    """(number of each value, how often each number occurs, latest earlier
+    place of each place's value or -1)."""
     order = np.argsort(pairs, kind="stable")
     same = pairs[order[1:]] == pairs[order[:-1]]
     number = np.empty(len(pairs), np.int64)
@@ -132,7 +132,7 @@ def _of_group(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
 
 
 def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_words, runs, collapsed`` of every row: ``runs`` are (start,
+    """``id_col, runs, collapsed`` of every row: ``runs`` are (start,
     length, period) by start, then period; ``collapsed`` is the text without the
     words that any run contains after its first period, joined by one space.
 
