@@ -21,22 +21,33 @@ NEAR_PERCENT = 80       # similarity of near-duplicates
 ORACLE_SQL = None       # hashed models, signatures and draws aren't SQL; the tests compare with brute force
 
 
+def _aside(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` with columns of an operator's own names out of its way."""
+    return docs.withColumnsRenamed({c: f"own {c}" for c in docs.columns if c in names})
+
+
+def _columns(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, those set aside under their names again."""
+    return found.select(*[F.col(f"`own {c}`" if f"own {c}" in found.columns else f"`{c}`").alias(c) for c in docs.columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without letters, or without a language
-    of probability ``MIN_SCORE``, go. A null ``lang`` takes the prediction."""
+    of probability ``MIN_SCORE``, go. A null ``lang`` takes the prediction.
+    Columns named like the model's keep their values; an empty table stays
+    empty."""
     model = langid.train(docs.where(~langid.held_out()))
-    found = langid.predict(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = langid.predict(_aside(docs, "lang_pred", "score"), model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    return _columns(found.withColumn("lang", F.coalesce("lang", "lang_pred")), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of lines are deleted; documents of which no word
-    is left go."""
-    found = linededup.dedup_lines(docs)
+    is left go. A column ``deleted_lines`` of the documents keeps its values."""
+    found = linededup.dedup_lines(_aside(docs, "deleted_lines"))
     text = F.col("text")
-    return (found.where((F.col("deleted_lines") == 0) | text.rlike(WORD))
-            .withColumn("n_chars", F.when(F.col("deleted_lines") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")))
-            .select(*docs.columns))
+    return _columns(found.where((F.col("deleted_lines") == 0) | text.rlike(WORD))
+                    .withColumn("n_chars", F.when(F.col("deleted_lines") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +59,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row per copy that it takes, dealt to shards and shuffled
-    inside them."""
-    return mixing.mixed_documents(docs).select(*docs.columns)
+    inside them. Columns named like the plan's keep their values."""
+    return _columns(mixing.mixed_documents(_aside(docs, "draws", "of", "of_id", "words", "mix_words", "mix_draw", "mix_shard", "mix_epoch")), docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

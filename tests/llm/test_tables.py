@@ -245,6 +245,17 @@ def test_pipeline_stages_against_brute_force(spark):
     assert last.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded"] and last.count() == fourth.count()
 
 
+def test_stages_keep_columns_named_like_their_own(spark):
+    docs = data.frame(spark, data.rows())
+    mine = ["lang_pred", "score", "deleted_lines", "draws", "of", "of_id", "words", "mix_words", "mix_draw", "mix_shard", "mix_epoch"]
+    marked = docs.withColumns({c: F.concat(F.lit(c + " of "), F.col("doc_id").cast("string")) for c in mine})
+    for stage in (corpus_pipeline.language_id, corpus_pipeline.line_dedup, corpus_pipeline.mix_sources):
+        out = stage(spark, marked, "")
+        rows = out.collect()
+        assert out.columns == marked.columns and len(rows) == stage(spark, docs, "").count() > 0
+        assert all(r[c] == (None if r.doc_id is None else f"{c} of {r.doc_id}") for r in rows for c in mine)
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SF0001)
     assert out.count() > 100 and len(corpus_pipeline.STAGES) == 5
