@@ -11,12 +11,51 @@ def test_exact_quantiles_match_numpy_with_skew_and_ties(spark):
     one = [("one", 7.0)]
     df = spark.createDataFrame(hot + cold + one + [("hot", None)], "k string, v double")
     probs = [0.0, 0.25, 0.5, 0.7, 0.85, 1.0]
-    got = {(r["k"], r["prob"]): r["quantile"] for r in exact_quantiles(df, ["k"], "v", probs, n_slices=7).collect()}
+    got = {(r["k"], r["prob"]): r["quantile"] for r in exact_quantiles(df, ["k"], "v", probs).collect()}
     for key, vals in (("hot", [v for _, v in hot]), ("cold", [v for _, v in cold]), ("one", [7.0])):
         for p in probs:
             assert abs(got[(key, p)] - np.quantile(vals, p)) < 1e-9, (key, p)
 
 
+def test_sort_key_keeps_order_and_value(spark):
+    from tarmac.operators.ranks import from_sort_key, sort_key
+    rng = np.random.default_rng(2)
+    bits = rng.integers(0, 2**64, 4000, dtype=np.uint64).view(np.float64)
+    near = np.array([np.nextafter(2.0 ** e, side) for e in (-1022, -1021, -3, 0, 1, 52, 1023) for side in (0.0, 2.0 ** e, np.inf)])
+    some = np.array([0.0, -0.0, 1.0, -1.0, 5e-324, 2.2e-308, 1.7976931348623157e308, np.inf, -np.inf, 0.1, 3.0])
+    vals = np.concatenate([bits[~np.isnan(bits)], near, -near, some])
+    df = spark.createDataFrame([(float(v),) for v in [*vals, np.nan]], "v double")
+    out = df.select("v", sort_key(F.col("v")).alias("k"), from_sort_key(sort_key(F.col("v"))).alias("back")).collect()
+    for r in out:
+        assert r["back"] == r["v"] or (np.isnan(r["v"]) and np.isnan(r["back"])), r
+        if not np.isnan(r["v"]):
+            raw = int(np.abs(np.float64(r["v"])).view(np.int64))
+            assert r["k"] == (-raw if r["v"] < 0 else raw), r
+    assert max(out, key=lambda r: r["k"])["v"] != max(vals)      # NaN is above infinity
+
+
+def test_quantiles_of_close_values_need_every_round(spark):
+    """Values that differ in their last bits only, and an empty table."""
+    vals = [float(1.0 + i * 2.0 ** -52) for i in range(500)] + [-1e-310 * i for i in range(300)]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    probs = [0.01, 0.37, 0.5, 0.9, 1.0]
+    got = {r["prob"]: r["quantile"] for r in exact_quantiles(df, [], "v", probs).collect()}
+    low, high = (np.quantile(vals, probs, method=m) for m in ("lower", "higher"))
+    assert all(low[i] <= got[p] <= high[i] for i, p in enumerate(probs))
+    assert all(got[p] == np.quantile(vals, p) for p in probs if low[probs.index(p)] == high[probs.index(p)])
+    assert exact_quantiles(df.where("v > 5"), [], "v", probs).count() == 0
+
+
+def test_no_value_is_shuffled(spark):
+    """What meets the first exchange is counts of cells, not values."""
+    df = spark.range(0, 200000).select((F.rand(3) + F.col("id")).alias("v"))
+    from tarmac.operators import ranks
+    counts = df.select(ranks.sort_key(F.col("v")).alias("k")).groupBy(F.shiftright("k", 48).alias("c")).count()
+    assert counts.count() < 300
+    q = ranks.exact_quantiles(df, [], "v", [0.5]).first()["quantile"]
+    assert abs(q - df.selectExpr("percentile(v, 0.5) AS p").first()["p"]) < 1e-9
+
+
 def test_prefix_sum(spark):
     df = spark.range(0, 1000).select(F.col("id").alias("o"), (F.col("id") % 3).alias("w"), (F.col("id") % 2).alias("k"))
     out = prefix_sum(df, ["k"], "o", "w", "cb", n_slices=5).collect()
