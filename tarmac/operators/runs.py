@@ -9,13 +9,14 @@ them).
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac import schema as S
-from tarmac.session import glob_exists
+from tarmac.session import glob_exists, path_exists
 
 # <root>/<run>/<kind>/<name> (tracking-library layout) or, as written by
 # Spark's partitioned text writer, <root>/run_id=<run>/kind=<kind>/name=<name>/part-*
@@ -91,23 +92,83 @@ def runs_append(spark: SparkSession, path: str, run_name: str, params: dict, met
     return rid
 
 
+RUN_EVENTS = ("run_id string, at timestamp, kind string, name string, value double, text string, "
+              "params map<string,string>, tags map<string,string>")
+
+
+def events_path(path: str) -> str:
+    """Events of the runs table at ``path``; hidden from its readers."""
+    return f"{path.rstrip('/')}/_events"
+
+
+def append_events(spark: SparkSession, path: str, run_id: str, events: list[dict]) -> None:
+    """Append events of one run in order: ``start`` (text: run name, params),
+    ``metric`` (name, value), ``end`` (text: status, tags, name: model path)."""
+    now = datetime.datetime.now(datetime.timezone.utc)
+    rows = [(run_id, now + datetime.timedelta(microseconds=i), e["kind"], e.get("name"), e.get("value"), e.get("text"),
+             e.get("params"), e.get("tags")) for i, e in enumerate(events)]
+    spark.createDataFrame(rows, RUN_EVENTS).coalesce(1).write.mode("append").parquet(events_path(path))
+
+
+def runs_from_events(events: DataFrame) -> DataFrame:
+    """The run rows as a fold over events, in the order of ``schema.RUNS``.
+    A run without an end event is RUNNING, with its parameters and the
+    metrics logged so far; of a metric logged again the latest value counts.
+    Two partial aggregates; no run's events meet in one task as rows."""
+    last = (events.groupBy("run_id", "kind", "name")
+            .agg(F.max_by("value", "at").alias("value"), F.max_by(F.struct("text", "params", "tags", "name"), "at").alias("last")))
+    metric = F.col("kind") == "metric"
+    pairs = F.collect_list(F.when(metric & F.col("value").isNotNull(), F.struct("name", "value")))
+
+    def of(kind: str, field: str):
+        return F.max_by(f"last.{field}", F.when(F.col("kind") == kind, F.lit(1)))
+
+    return last.groupBy("run_id").agg(
+        of("start", "text").alias("run_name"), F.coalesce(of("end", "text"), F.lit("RUNNING")).alias("status"),
+        of("start", "params").alias("params"), F.map_from_entries(F.array_sort(pairs)).alias("metrics"),
+        F.coalesce(of("end", "tags"), F.create_map().cast("map<string,string>")).alias("tags"), of("end", "name").alias("model_path"))
+
+
+def runs_current(spark: SparkSession, path: str) -> DataFrame:
+    """Every run that was started at ``path``, open ones included."""
+    if not path_exists(spark, events_path(path)):
+        return spark.createDataFrame([], S.RUNS)
+    return runs_from_events(spark.read.schema(RUN_EVENTS).parquet(events_path(path)))
+
+
 class logged_run:
-    """Context manager: the run row is appended even when the body fails
-    (status FAILED), so no run stays open."""
+    """Context manager. The start is appended as an event before the body
+    runs, metrics given to ``log`` as they come, and the end with the run row
+    when the body ends, also by an error (status FAILED). A driver lost in
+    between leaves an open run in ``runs_current``."""
 
     def __init__(self, spark, path, run_name, params):
         self.spark, self.path, self.run_name, self.params = spark, path, run_name, params
         self.metrics, self.tags, self.model_path = {}, {}, None
+        self.run_id = uuid.uuid4().hex
 
     def __enter__(self):
+        append_events(self.spark, self.path, self.run_id, [
+            {"kind": "start", "text": self.run_name, "params": {k: str(v) for k, v in self.params.items()}}])
         return self
 
+    def log(self, **metrics) -> None:
+        """Metrics on record from now on, whatever becomes of the driver."""
+        self.metrics.update(metrics)
+        append_events(self.spark, self.path, self.run_id, _metric_events(metrics))
+
     def __exit__(self, et, ev, tb):
-        runs_append(self.spark, self.path, self.run_name, self.params, self.metrics, self.tags,
-                    self.model_path, "FAILED" if et else "FINISHED")
+        status = "FAILED" if et else "FINISHED"
+        runs_append(self.spark, self.path, self.run_name, self.params, self.metrics, self.tags, self.model_path, status, self.run_id)
+        append_events(self.spark, self.path, self.run_id, [
+            *_metric_events(self.metrics), {"kind": "end", "text": status, "tags": self.tags, "name": self.model_path}])
         return False
 
 
+def _metric_events(metrics: dict) -> list[dict]:
+    return [{"kind": "metric", "name": k, "value": float(v)} for k, v in metrics.items() if v is not None]
+
+
 def runs_display(runs: DataFrame, stage_col: str = "tags.stage") -> DataFrame:
     """Keep final-stage runs when the stage tag exists; keep existing
     optional columns; rename; order by run_id."""

@@ -1,8 +1,10 @@
 """Structured Streaming: requests landing in a directory.
 
-Both are stateless append streams with a checkpoint, so a restarted query
-resumes exactly where it stopped; ``availableNow`` processes what has landed
-and stops (the batch-like trigger used for backfills and tests).
+Both are append streams with a checkpoint, so a restarted query resumes
+exactly where it stopped; ``availableNow`` processes what has landed and stops
+(the batch-like trigger used for backfills and tests). Their only state are
+the ids of the requests of the last ``RESEND``: a request sent again within
+that time, in whatever file, is neither scored nor stored again.
 """
 
 from __future__ import annotations
@@ -16,6 +18,22 @@ from pyspark.sql import functions as F
 from tarmac.operators import score as SC
 
 
+RESEND = "1 day"       # within which a request id counts once
+
+
+def unique_requests(requests: DataFrame, within: str = RESEND) -> DataFrame:
+    """A stream's requests, each id once ``within`` the time of its arrival.
+
+    The watermark runs on the micro-batch's own time, which a re-run batch
+    takes from the offset log: no request is ever late, and state holds the
+    ids of one period. Requests without an id all stay.
+    """
+    columns = requests.columns
+    return (requests.withColumns({"_arrived": F.current_timestamp(),
+                                  "_request": F.coalesce(F.col("request_id").cast("string"), F.concat(F.lit("-"), F.uuid()))})
+            .withWatermark("_arrived", within).dropDuplicatesWithinWatermark(["_request"]).select(*columns))
+
+
 def request_stream(spark: SparkSession, source_dir: str, max_files: int | None = None) -> DataFrame:
     r = spark.readStream
     if max_files:
@@ -24,9 +42,10 @@ def request_stream(spark: SparkSession, source_dir: str, max_files: int | None =
 
 
 def stream_score(spark: SparkSession, source_dir: str, clf: PipelineModel, reg: PipelineModel,
-                 sink_dir: str, checkpoint_dir: str) -> None:
-    """Validate -> features -> both models -> append to a Parquet sink."""
-    scored = SC.score_batch(request_stream(spark, source_dir), clf, reg)
+                 sink_dir: str, checkpoint_dir: str, within: str = RESEND) -> None:
+    """Validate -> features -> both models -> append to a Parquet sink;
+    a request sent again ``within`` that time is scored once."""
+    scored = SC.score_batch(unique_requests(request_stream(spark, source_dir), within), clf, reg)
     q = (scored.writeStream.format("parquet").outputMode("append")
                .option("checkpointLocation", checkpoint_dir)
                .trigger(availableNow=True).start(sink_dir))
@@ -47,9 +66,9 @@ def history_entries(valid: DataFrame, clf: PipelineModel, reg: PipelineModel) ->
 
 def stream_accept_reject(spark: SparkSession, source_dir: str, accepted_dir: str, rejected_dir: str,
                          checkpoint_dir: str, clf: PipelineModel | None = None,
-                         reg: PipelineModel | None = None) -> None:
+                         reg: PipelineModel | None = None, within: str = RESEND) -> None:
     """Validated requests appended to the accepted sink, rejected ones
-    (with their errors) to a second sink; one micro-batch feeds both writes
+    (with their errors) to a second sink, each id once ``within`` that time; one micro-batch feeds both writes
     (persisted once, released after). With both models given, accepted
     requests are scored and written as prediction-history entries.
 
@@ -60,7 +79,7 @@ def stream_accept_reject(spark: SparkSession, source_dir: str, accepted_dir: str
     id lives in its checkpoint: another checkpoint folder is another stream,
     whose epochs (from 0 again) never touch those already written.
     """
-    validated = SC.validate_requests(request_stream(spark, source_dir))
+    validated = SC.validate_requests(unique_requests(request_stream(spark, source_dir), within))
     started, query = threading.Event(), []
 
     def stream_id() -> str:

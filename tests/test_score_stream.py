@@ -75,3 +75,30 @@ def test_epoch_rerun_is_idempotent(spark):
     (spark.range(2).withColumn("epoch", F.lit(4).cast("long")).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path))
     assert spark.read.parquet(path).count() == 7
+
+
+def _send(spark, src, ids):
+    base = _req(spark, [(2020, 1, "C", 1.0, 1.0)] * len(ids)).drop("request_id").limit(1)
+    (spark.createDataFrame([(i,) for i in ids], "request_id long").join(base).coalesce(1).write.mode("append").json(src))
+
+
+def test_a_request_sent_again_is_stored_once(spark):
+    src, acc, rej, ck = (scratch_path(spark, n) for n in ("t_src", "t_acc", "t_rej", "t_ck"))
+    _send(spark, src, [1, 2, 2, None, None])
+    ST.stream_accept_reject(spark, src, acc, rej, ck)
+    _send(spark, src, [2, 3])                                   # the second run is a restart
+    ST.stream_accept_reject(spark, src, acc, rej, ck)
+    _send(spark, src, [1, 2, 3, 4])
+    ST.stream_accept_reject(spark, src, acc, rej, ck)
+    got = [r["request_id"] for r in spark.read.parquet(acc).collect()]
+    assert sorted(i for i in got if i is not None) == [1, 2, 3, 4] and got.count(None) == 2
+
+
+def test_ids_leave_the_state_with_the_watermark(spark):
+    import time
+    src, acc, rej, ck = (scratch_path(spark, n) for n in ("t_src", "t_acc", "t_rej", "t_ck"))
+    for ids in ([1], [2], [1]):
+        _send(spark, src, ids)
+        ST.stream_accept_reject(spark, src, acc, rej, ck, within="1 second")
+        time.sleep(3)
+    assert sorted(r["request_id"] for r in spark.read.parquet(acc).collect()) == [1, 1, 2]

@@ -73,6 +73,30 @@ def test_logged_run_closes_on_failure(spark):
     assert spark.read.parquet(path).first()["status"] == "FAILED"
 
 
+def test_a_lost_driver_leaves_an_open_run(spark):
+    path = scratch_path(spark, "t_runs_tbl")
+    assert R.runs_current(spark, path).count() == 0
+    lost = R.logged_run(spark, path, "lost", {"depth": 3})
+    lost.__enter__()
+    lost.log(auc=0.5)
+    lost.log(auc=0.7)                                       # and the driver is gone
+    with R.logged_run(spark, path, "whole", {"depth": 4}) as run:
+        run.metrics["rmse"] = 2.0
+        run.model_path = "m"
+    with pytest.raises(RuntimeError):
+        with R.logged_run(spark, path, "failed", {}):
+            raise RuntimeError("boom")
+    got = {r["run_name"]: r for r in R.runs_current(spark, path).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {"lost": "RUNNING", "whole": "FINISHED", "failed": "FAILED"}
+    assert got["lost"]["params"] == {"depth": "3"} and got["lost"]["metrics"] == {"auc": 0.7} and got["lost"]["model_path"] is None
+    closed = {r["run_id"]: r.asDict() for r in spark.read.parquet(path).collect()}      # events are hidden from the table
+    assert len(closed) == 2
+    for r in got.values():
+        if r["status"] != "RUNNING":
+            assert r.asDict() == closed[r["run_id"]]
+    assert R.runs_current(spark, path).columns == S.RUNS.names
+
+
 def test_fetch_plan_skips_landed_and_uncoded(spark):
     flights = spark.createDataFrame([("A1", 2020), ("A1", 2021), ("A2", 2020), ("ZZ", 2020)], "airport string, year int")
     raw = spark.createDataFrame([(1, "K1", "n", "c", "r", "US", "A1", "L1", 10.0, 20.0),
