@@ -445,6 +445,31 @@ def q_runs_append(spark, sf):
                           F.col("metrics")["test_rmse"].alias("test_rmse")))
 
 
+@query("runs_events", oracle_with(["runs_fx"], """
+SELECT run_id, run_name, CASE WHEN stage = 'final' THEN 'FINISHED' ELSE 'RUNNING' END AS status,
+  round(test_auc, 6) AS test_auc, round(test_rmse, 6) AS test_rmse, model_type FROM runs_fx"""))
+def q_runs_events(spark, sf):
+    """S16 as events: each run starts, logs each metric twice (first a value
+    that the second corrects); only final-stage runs end."""
+    fx = load(spark, sf, "runs_fx")
+    path = scratch_path(spark, "runs_events")
+    text, none = F.lit(None).cast("string"), F.lit(None).cast("map<string,string>")
+
+    def events(rows, second, kind, name=text, value=F.lit(None).cast("double"), said=text, params=none, tags=none):
+        at = F.timestamp_seconds(F.lit(1_700_000_000 + second))
+        (rows.select("run_id", at.alias("at"), F.lit(kind).alias("kind"), name.alias("name"), value.alias("value"), said.alias("text"),
+                     params.alias("params"), tags.alias("tags")).write.mode("append").parquet(R.events_path(path)))
+
+    events(fx, 0, "start", said=F.col("run_name"), params=F.create_map(F.lit("model_type"), F.col("model_type")))
+    for m in ("test_auc", "test_rmse"):
+        events(fx, 1, "metric", F.lit(m), F.col(m) + 1)
+        events(fx, 2, "metric", F.lit(m), F.col(m))
+    events(fx.where("stage = 'final'"), 3, "end", said=F.lit("FINISHED"), tags=F.create_map(F.lit("stage"), F.col("stage")))
+    runs = R.runs_current(spark, path)
+    return r6(runs.select("run_id", "run_name", "status", F.col("metrics")["test_auc"].alias("test_auc"),
+                          F.col("metrics")["test_rmse"].alias("test_rmse"), F.col("params")["model_type"].alias("model_type")))
+
+
 # ---------------------------------------------------------------- streams
 def _land_requests(spark, sf):
     src = scratch_path(spark, "requests_landing")
@@ -478,6 +503,22 @@ def q_stream_history(spark, sf):
     return a.unionByName(r)
 
 
+@query("stream_resent", oracle_with(["score_requests"], f"""
+, v AS ({_VALID_SQL})
+SELECT request_id, CASE WHEN valid = 1 THEN 'accepted' ELSE 'rejected' END AS status FROM v"""))
+def q_stream_resent(spark, sf):
+    """T2 with every request sent twice, the second time to a restarted
+    stream: each is stored once."""
+    src = _land_requests(spark, sf)
+    acc, rej, ckpt = (scratch_path(spark, "accepted"), scratch_path(spark, "rejected"), scratch_path(spark, "resent_ckpt"))
+    for _ in range(2):
+        ST.stream_accept_reject(spark, src, acc, rej, ckpt)
+        load(spark, sf, "score_requests").write.mode("append").json(src)
+    ST.stream_accept_reject(spark, src, acc, rej, ckpt)
+    return (spark.read.parquet(acc).select("request_id", F.lit("accepted").alias("status"))
+            .unionByName(spark.read.parquet(rej).select("request_id", F.lit("rejected").alias("status"))))
+
+
 @query("stream_history_scored")
 def q_stream_history_scored(spark, sf):
     """T2 with scoring: accepted requests become prediction-history rows."""

@@ -302,6 +302,21 @@ def q_history_append(spark, sf):
     return r6(IO.history_load(spark, path))
 
 
+@query("history_compact", oracle_with(["prediction_history"], _HIST_SQL))
+def q_history_compact(spark, sf):
+    """Appends in small files, compacted and vacuumed twice, with an append
+    in between: the rows stay as they are."""
+    path = scratch_path(spark, "history")
+    h = load(spark, sf, "prediction_history")
+    for part in range(4):
+        IO.history_append(h.where(F.col("month") % 4 == part).repartition(6), path)
+        if part % 2:
+            IO.history_compact(spark, path)
+    IO.history_vacuum(spark, path)
+    IO.history_append(h.where("month IS NULL"), path)
+    return r6(IO.history_load(spark, path))
+
+
 @query("history_export", oracle_with(["prediction_history"], _HIST_SQL))
 def q_history_export(spark, sf):
     path, out = scratch_path(spark, "history"), scratch_path(spark, "history_csv")

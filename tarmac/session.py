@@ -73,3 +73,58 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(hpath))
+
+
+def _file_system(spark: SparkSession, path: str):
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath, hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _children(spark: SparkSession, path: str) -> list:
+    hpath, fs = _file_system(spark, path)
+    return list(fs.listStatus(hpath)) if fs.exists(hpath) else []
+
+
+def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(name, bytes) of the files in a folder, on any Hadoop file system;
+    nothing for an absent one."""
+    return [(s.getPath().getName(), s.getLen()) for s in _children(spark, path) if s.isFile()]
+
+
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    return [s.getPath().getName() for s in _children(spark, path) if s.isDirectory()]
+
+
+def read_text_file(spark: SparkSession, path: str) -> str:
+    """The content of one small file."""
+    hpath, fs = _file_system(spark, path)
+    stream = fs.open(hpath)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def publish_text_file(spark: SparkSession, path: str, text: str) -> None:
+    """Write one small file so that readers see it whole or not at all; an
+    error if the path is taken."""
+    jvm = spark.sparkContext._jvm
+    hpath, fs = _file_system(spark, path)
+    draft = jvm.org.apache.hadoop.fs.Path(hpath.getParent(), f".{hpath.getName()}.{uuid.uuid4().hex[:12]}")
+    stream = fs.create(draft, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    no_options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(fs.makeQualified(draft), fs.makeQualified(hpath), no_options)
+    except Exception:
+        fs.delete(draft, False)
+        raise
+
+
+def delete_file(spark: SparkSession, path: str) -> None:
+    hpath, fs = _file_system(spark, path)
+    fs.delete(hpath, False)

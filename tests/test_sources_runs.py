@@ -44,6 +44,53 @@ def test_history_lifecycle(spark):
     assert IO.history_load(spark, path).count() == 0
 
 
+def _entries(spark, n, first=0):
+    return spark.range(first, first + n).select(
+        F.timestamp_seconds("id").alias("timestamp"), F.lit(2020).alias("year"), F.lit(1).alias("month"), F.lit("C").alias("carrier"),
+        F.lit("A").alias("airport"), F.col("id").alias("arr_flights"), F.lit(None).cast("long").alias("arr_del15"),
+        F.lit(0.5).alias("high_delay_risk_proba"), F.lit(1).alias("high_delay_risk_label"), F.lit(1.0).alias("avg_delay_per_flight"))
+
+
+def test_history_compaction(spark):
+    path = scratch_path(spark, "t_hist")
+    IO.history_append(_entries(spark, 200).repartition(40), path)
+    before = IO.history_load(spark, path)                      # a reader that listed the files before
+    rows = sorted(r["arr_flights"] for r in before.collect())
+    small = len(IO.history_files(spark, path))
+    assert small == 40 and IO.history_compact(spark, path) == 40
+    assert len(IO.history_files(spark, path)) == 1 and sorted(r["arr_flights"] for r in before.collect()) == rows
+    IO.history_append(_entries(spark, 50, 200).repartition(5), path)
+    now = sorted(r["arr_flights"] for r in IO.history_load(spark, path).collect())
+    assert now == list(range(250))
+    assert IO.history_compact(spark, path) == 6 and IO.history_compact(spark, path) == 0
+    assert IO.history_vacuum(spark, path) == 40 + 5 + 1 + 1 and IO.history_vacuum(spark, path) == 0
+    assert sorted(r["arr_flights"] for r in IO.history_load(spark, path).collect()) == now
+    IO.history_clear(spark, path)
+    assert IO.history_load(spark, path).count() == 0
+    IO.history_append(_entries(spark, 3), path)
+    assert IO.history_load(spark, path).count() == 3
+
+
+def test_a_lost_or_second_compaction_changes_nothing(spark):
+    from tarmac.session import publish_text_file
+    path = scratch_path(spark, "t_hist")
+    IO.history_append(_entries(spark, 20).repartition(4), path)
+    IO.history_load(spark, path).write.parquet(f"{path}/_compacted/lost")      # written, never published
+    assert IO.history_load(spark, path).count() == 20
+    IO.history_compact(spark, path)
+    with pytest.raises(Exception, match="already exist|AlreadyExists"):
+        publish_text_file(spark, f"{path}/_manifest/{1:012d}.json", "{}")      # the slower of two
+    assert IO.history_load(spark, path).count() == 20
+    IO.history_vacuum(spark, path)
+    assert IO.history_load(spark, path).count() == 20
+
+
+def test_pack():
+    bins = IO.pack([("a", 6), ("b", 5), ("c", 4), ("d", 4), ("e", 1), ("f", 10)], 10)
+    assert sorted(map(sorted, bins)) == [["a", "c"], ["b", "d", "e"]]
+    assert IO.pack([], 10) == [] and IO.pack([("a", 3)], 10) == []
+
+
 def test_fallback(spark):
     a, b = scratch_path(spark, "t_a"), scratch_path(spark, "t_b")
     assert IO.read_with_fallback(spark, [a, b]) is None
