@@ -46,6 +46,30 @@ def test_quality_fences_follow_the_language(spark):
     assert not got[1000] and not got[1001] and sum(got.values()) >= 298
 
 
+def test_each_metric_rejects_a_text_that_passes_the_base_rules(spark):
+    """Texts of one group, ordinary but for one metric; and a group whose
+    texts are shorter has a wider fence for symbols."""
+    def text(i, words=120, n=12):
+        w = data.prose(i, words).split()
+        return "\n".join(" ".join(w[k::n]) for k in range(n))
+
+    good = [(i, text(i), "en", "s1") for i in range(400)] + [(i, text(i, 60, 6), "fr", "s1") for i in range(400, 800)]
+    w = data.prose(5, 120).split()
+    odd = {
+        1000: " ".join(x * 6 for x in w),
+        1001: text(1001).replace(" ", " #", 30),
+        1002: "\n".join("ja\nno\nbut\n" + " ".join(w[k:k + 6]) for k in range(0, 120, 6)),
+        1003: text(1003) + "\n" + " ".join(w[:50]) + "\n" + " ".join(w[:50]).replace(w[0], "x", 1),
+    }
+    rows = data.frame(spark, good + [(i, t, "en", "s1") for i, t in odd.items()])
+    got = {r.doc_id: r for r in qualityrules.judge(rows).collect()}
+    assert all(not got[i].base_failed and not got[i].kept for i in odd), [got[i] for i in odd]
+    assert all(got[i].kept for i in range(800))
+    found = qualityrules.fences(qualityrules.text_stats(rows)).collect()
+    high = {r["lang"]: [x["high"] for x in r["fences"]] for r in found}
+    assert high["fr"][1] > high["en"][1] and high["fr"][2] > high["en"][2] and high["fr"][3] > high["en"][3]
+
+
 def test_buckets_keep_six_leading_bits(spark):
     got = [r[0] for r in spark.range(0, 5000).select(qualityrules.bucket(qualityrules.F.col("id"))).collect()]
     want = [x if x < 64 else x >> (x.bit_length() - 6) << (x.bit_length() - 6) for x in range(5000)]
