@@ -20,7 +20,9 @@ splitting tree.
 
 All randomness is hashes of the seed, so reruns agree. What grows with the
 documents is grouped by (source, block); per source at most MAX_BLOCKS rows
-meet in one task.
+meet in one task. Rows per source go to the documents by broadcast while the
+size of all of them, which is measured, is below ``BROADCAST_BYTES``; beyond
+that by shuffle joins, whose hot keys have one row on the other side.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ from tarmac.llm.common import cut, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
-SHARDS = 64          # a power of two
-MAX_BLOCKS = 4096    # per source
+SHARDS, MAX_SHARDS = 64, 1 << 14    # powers of two
+SHARD_WORDS = 1 << 27               # aimed size of a shard beyond SHARDS of them
+MAX_BLOCKS = 1 << 14                # per source; with _BITS below 63 bits
+BROADCAST_BYTES = 16 << 20          # of the rows per source
 BLOCK_DOCS = 64
 SEED = 20240607
 _BITS = 48           # of the hash that orders documents
@@ -142,11 +146,25 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> D
         "shard", F.col("x.numbers").alias("number"), F.col("x.here").alias("part"))
 
 
+def _per_source(sources: DataFrame, share: float) -> tuple[bool, int]:
+    """Whether rows per source are small enough to broadcast, with up to
+    2 * BLOCK_DOCS chosen documents of 32 bytes each; and the number of shards
+    for the words of the mix. (One row reaches the driver.)"""
+    row = sources.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.coalesce("source", F.lit("")))).alias("names"),
+                      F.sum("source_size").alias("words")).first()
+    small = row["n"] * (200 + 64 * BLOCK_DOCS) + (row["names"] or 0) <= BROADCAST_BYTES
+    shards = SHARDS
+    while shards < MAX_SHARDS and shards * SHARD_WORDS < share * (row["words"] or 0):
+        shards *= 2
+    return small, shards
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights=WEIGHTS, share: float = SHARE, most: int = MOST, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+        weights=WEIGHTS, share: float = SHARE, most: int = MOST, shards: int | None = None, seed: int = SEED) -> DataFrame:
     """The mix's plan, one row per input row: ``id, source, size, source_size,
     target, draws, taken``. ``draws`` lists (epoch, shard) of every copy that
-    the mix takes (empty: none), ``taken`` is their words.
+    the mix takes (empty: none), ``taken`` is their words. Without ``shards``
+their number follows from the words of the mix.
 
     Null or empty texts have size 0 and null sources are a source of their
     own. Repeated rows (same id, source and size) share their decision. An
@@ -159,18 +177,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     sources = cut(sources.withColumn("epochs", epochs).withColumn("blocks", _blocks(F.col("docs"))).withColumn(
         "left", F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0))))
-    s = sources.withColumnRenamed("source", "of")
+    small, by_size = _per_source(sources, share)
+
+    def sent(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if small else rows
+
+    s = sent(sources.withColumnRenamed("source", "of"))
     block, inner = _place(F.col("h"), F.col("blocks"))
     placed = (units.join(s, units.source.eqNullSafe(s["of"])).drop("of")
               .withColumn("block", block).withColumn("inner", inner))
 
     # the block in which a source's remainder ends, then the piece of that block
     first = cut(_ends(placed.select("number", "block", "size", "left")))
-    ending = placed.drop("left").join(first.withColumnRenamed("end_left", "left"), "number").where("block = end")
+    ending = placed.drop("left").join(sent(first.withColumnRenamed("end_left", "left")), "number").where("block = end")
     piece, _ = _place(F.col("inner"), _blocks(F.col("end_docs")))
     ending = ending.withColumn("piece", piece)
     second = cut(_ends(ending.select("number", F.col("piece").alias("block"), "size", "left")))
-    last = ending.select("number", "piece", "id", "size", "h").join(second, "number").where("piece = end")
+    last = ending.select("number", "piece", "id", "size", "h").join(sent(second), "number").where("piece = end")
     fits = _fitting(last)
     ends = first.select("number", "end", "end_docs").join(
         second.select("number", F.col("end").alias("piece_end")), "number", "left").join(fits, "number", "left")
@@ -178,7 +201,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # the tree over block quotas, and the draws that each shard owns
     quota = F.col("epochs") * F.col("blocks") + F.least(F.col("end") + F.when(F.col("end_docs") > 0, 1).otherwise(0), F.col("blocks"))
     quotas = sources.select("number", "blocks", "epochs").join(first, "number").withColumn("quota", quota)
-    parts = split_quotas(quotas.select("number", "quota"), shards, seed)
+    parts = split_quotas(quotas.select("number", "quota"), shards or by_size, seed)
     to = F.sum("part").over(Window.partitionBy("number").orderBy("shard"))
     owned = (parts.withColumn("to", to).where("part > 0")
              .select("number", "shard", F.explode(F.sequence(F.col("to") - F.col("part"), F.col("to") - 1)).alias("place")))
@@ -194,7 +217,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .otherwise(F.coalesce(F.array_contains("chosen", F.struct("id", "size")), F.lit(False)))
     draws = F.filter(F.coalesce(F.col("draws"), F.array().cast("array<struct<epoch:bigint,shard:int>>")),
                      lambda d: (d["epoch"] < F.col("epochs")) | F.col("here"))
-    return (placed.drop("left", "docs", "h").join(ends, "number", "left")
+    return (placed.drop("left", "docs", "h").join(sent(ends), "number", "left")
             .withColumn("piece", piece).withColumn("here", here)
             .join(drawn, ["number", "block"], "left")
             .withColumn("draws", draws)
@@ -233,20 +256,26 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``mix_shard``; shards are partitions, shuffled inside.
 
     The plan comes back to the rows by id, source and size, so repeated rows
-    get their plan once each.
+    get their plan once each. A column ``mix_shard`` of ``docs`` is replaced;
+    all others keep their values, whatever their names.
     """
-    plan = mix(docs, id_col, text_col, source_col, seed=seed, **options)
-    plan = (plan.select("id", F.col("source").alias("of"), "size", "draws").where(F.size("draws") > 0)
-            .dropDuplicates(["id", "of", "size"]).withColumnRenamed("size", "words").withColumnRenamed("id", "of_id"))
-    rows = docs.withColumn("mix_words", word_count(F.col(text_col)))
-    out = (rows.join(plan, rows[id_col].eqNullSafe(plan.of_id) & rows[source_col].eqNullSafe(plan["of"])
-                     & (rows.mix_words == plan.words))
-           .withColumn("mix_draw", F.explode("draws"))
-           .select(*[docs[c] for c in docs.columns], F.col("mix_draw.shard").alias("mix_shard"), F.col("mix_draw.epoch").alias("mix_epoch")))
-    order = F.xxhash64(F.lit(seed), F.col("mix_shard"), F.col("mix_epoch"), F.col(id_col))
-    return (out.repartition("mix_shard").sortWithinPartitions("mix_shard", order, id_col).select(*docs.columns, "mix_shard"))
+    pre = "mix_"
+    while any(c.startswith(pre) for c in docs.columns):     # no column of the documents has a name of the plan's
+        pre = f"_{pre}"
+    plan = mix(docs, id_col, text_col, source_col, seed=seed, **options).where(F.size("draws") > 0)
+    plan = plan.select(*[F.col(c).alias(pre + c) for c in ("id", "source", "size", "draws")]).dropDuplicates([pre + c for c in ("id", "source", "size")])
+    rows = docs.withColumn(f"{pre}words", word_count(F.col(text_col)))
+    out = (rows.join(plan, F.col(id_col).eqNullSafe(F.col(f"{pre}id")) & F.col(source_col).eqNullSafe(F.col(f"{pre}source"))
+                     & (F.col(f"{pre}words") == F.col(f"{pre}size")))
+           .withColumn(f"{pre}draw", F.explode(f"{pre}draws"))
+           .withColumns({f"{pre}shard": F.col(f"{pre}draw.shard"), f"{pre}epoch": F.col(f"{pre}draw.epoch")}))
+    order = F.xxhash64(F.lit(seed), F.col(f"{pre}shard"), F.col(f"{pre}epoch"), F.col(id_col))
+    return (out.repartition(f"{pre}shard").sortWithinPartitions(f"{pre}shard", order, id_col)
+            .select(*[F.col(f"`{c}`") for c in docs.columns if c != "mix_shard"], F.col(f"{pre}shard").alias("mix_shard")))
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``id_col, size, source_size, target, taken`` of the mix's plan."""
-    return mix(docs, id_col, **options).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+    """``id_col, size, source_size, target, taken, shards`` of the mix's plan;
+    ``shards`` lists the shard of every copy, in order of epochs."""
+    return mix(docs, id_col, **options).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken",
+                                               F.transform("draws", lambda d: d["shard"]).alias("shards"))

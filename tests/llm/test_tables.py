@@ -68,6 +68,23 @@ def test_mix_is_exact_and_reruns_agree(spark):
     assert {(r.doc_id, r.source): r["count"] for r in copies} == {k: n for k, n in want.items() if n}
 
 
+def test_mix_by_broadcast_and_by_shuffle_and_clashing_names(spark, monkeypatch):
+    rows = [(i, data.prose(i, 20 + i * 7 % 90), "en", f"s{i * i % 4}") for i in range(200)]
+    docs = data.frame(spark, rows).withColumns({c: F.lit("own") for c in ("draws", "words", "of", "number", "mix_draw", "mix_shard", "_mix_size")})
+    got = mixing.digest(docs, shards=8)
+    assert got.columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
+    got = sorted(map(tuple, got.collect()))
+    copies = mixing.mixed_documents(docs, shards=8).select("doc_id", "draws", "_mix_size", "mix_shard").collect()
+    assert Counter((r.doc_id, r.mix_shard) for r in copies) == Counter((r[0], s) for r in got for s in r[5])
+    assert all(r.draws == r._mix_size == "own" for r in copies) and len({r.mix_shard for r in copies}) > 1
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, mixing.digest(docs, shards=8).collect())) == got
+    sizes = spark.createDataFrame([("a", 100), (None, 300)], "source string, source_size long")
+    assert mixing._per_source(sizes, 1.5) == (False, mixing.SHARDS)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 2)
+    assert mixing._per_source(sizes, 1.5)[1] == 512
+
+
 def test_tree_parts_sum_to_the_quotas(spark):
     quotas = spark.createDataFrame([(0, 4096), (1, 3), (2, 0), (3, 777)], "number int, quota long")
     parts = mixing.split_quotas(quotas, 16).collect()
