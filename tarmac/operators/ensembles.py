@@ -6,15 +6,18 @@ assembled, no Python and no model object runs on the executors, and the same
 text runs in another SQL engine. Expressions are bounded by the model, not the
 data.
 
-The trees stand in an array that is folded: where they don't fit one
-generated method, Spark splits an array's elements into methods of their own,
-and every chunk of ``CHUNK_LEAVES`` leaves is a separate element small enough for the JIT
-compiler.
+The trees are added up chunk by chunk of ``CHUNK_LEAVES`` leaves. A projection
+of thousands of leaves must not become one generated method: no JIT compiler
+takes it. Spark gives every larger subexpression a method of its own in a
+projection that stays out of whole-stage generation, as one with a
+higher-order function does. What stands inside such a function is interpreted
+node by node, so only the last tree does.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
@@ -27,6 +30,7 @@ from tarmac.operators.explain import tree_nodes
 from tarmac.session import scratch_path
 
 CHUNK_LEAVES = 64
+BLOCK_CHUNKS = 64       # chunks added in one row: bounds the nesting of the sum
 
 
 @dataclass(frozen=True)
@@ -80,11 +84,14 @@ def margin_sql(trees: list[Node], base: float = 0.0) -> str:
 
 
 def margin_column(trees: list[Node], base: float = 0.0) -> Column:
-    """The same value for Spark, chunk by chunk."""
+    """The same value for Spark, chunk by chunk; the last tree's value comes
+    through a fold, which adds nothing (see the module's text)."""
     if not trees:
         return F.lit(float(base))
-    parts = [" + ".join(case_sql(t) for t in c) for c in chunks(trees)]
-    return F.expr(f"aggregate(array({', '.join(parts)}), {number(base)}, (a, x) -> a + x)")
+    *before, last = [F.expr(" + ".join(case_sql(t) for t in c)) for c in [*chunks(trees[:-1]), trees[-1:]]]
+    folded = F.aggregate(F.array(last), F.lit(0.0), lambda a, x: a + x)
+    blocks = [reduce(Column.__add__, before[i:i + BLOCK_CHUNKS]) for i in range(BLOCK_CHUNKS, len(before), BLOCK_CHUNKS)]
+    return reduce(Column.__add__, [*before[:BLOCK_CHUNKS], *blocks, folded], F.lit(float(base)))
 
 
 # ------------------------------------------------- fitted MLlib pipelines

@@ -71,6 +71,19 @@ def test_many_trees_stay_exact(spark):
     assert got == pytest.approx({x: 0.5 + sum(walk(t, x) for t in trees) for x in range(300)})
 
 
+def test_only_the_last_tree_is_interpreted(spark):
+    """What stands inside a higher-order function has no generated code."""
+    def tree(i):
+        return EN.Node(condition=f"id < {i}", left=EN.Node(value=1.0), right=EN.Node(condition=f"id > {2 * i}", left=EN.Node(value=2.0), right=EN.Node(value=i + 2.5)))
+    trees = [tree(i) for i in range(1, 600)]
+    df = spark.range(900).select(EN.margin_column(trees, 0.25).alias("m"), "id")
+    text = df._jdf.queryExecution().optimizedPlan().expressions().head().sql()
+    assert text.count("CASE WHEN") == 2 * len(trees)
+    assert text[text.index("aggregate("):].count("CASE WHEN") == 2
+    want = {x: 0.25 + sum(1.0 if x < i else 2.0 if x > 2 * i else i + 2.5 for i in range(1, 600)) for x in range(900)}
+    assert {r.id: r.m for r in df.collect()} == pytest.approx(want)
+
+
 # boosting
 
 def brute(data, cuts, values, kind, p, label):
