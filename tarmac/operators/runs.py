@@ -4,7 +4,9 @@ A run store directory holds ``<run>/params/<name>``, ``<run>/metrics/<name>``
 (lines ``millis value step``) and ``<run>/tags/<name>`` text files. It is read
 with one ``wholetext`` scan; the run, kind and name come from the file path,
 and the wide table is a ``pivot`` with explicit values (no extra job to find
-them).
+them). A store of many runs is packed: ``kind=<kind>/name=<name>/`` holds
+Parquet files of ``(run_id, value)``, each record the text of one such file, so
+that files don't grow with runs. Both are read, also from one root.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from tarmac.session import glob_exists, path_exists
 
 # <root>/<run>/<kind>/<name> (tracking-library layout) or, as written by
 # Spark's partitioned text writer, <root>/run_id=<run>/kind=<kind>/name=<name>/part-*
+PACKED = "run_id string, value string, kind string, name string"
+NO_NAME = "__HIVE_DEFAULT_PARTITION__"      # folder of a run without an id, as Spark's writers name it
 _PATH = r"/(?:run_id=)?([^/]+)/(?:kind=)?(params|metrics|tags)/(?:name=)?([^/]+?)(?:/part-[^/]*)?$"
 
 
@@ -30,14 +34,16 @@ def runs_long(spark: SparkSession, root: str) -> DataFrame:
     # (models/<id>/params etc.) and artifacts are never opened
     layouts = [f"{root}/*/{{params,metrics,tags}}/*", f"{root}/run_id=*/kind=*/name=*/part-*"]
     found = [x for x in layouts if glob_exists(spark, x)]
-    raw = spark.read.option("wholetext", True).schema("value string").text(found) if found else None
-    if raw is None:
-        return spark.createDataFrame([], "run_id string, kind string, name string, value string")
-    raw = raw.select(F.col("_metadata.file_path").alias("path"), "value")
-    parts = raw.select(F.regexp_extract("path", _PATH, 1).alias("run_id"),
-                       F.regexp_extract("path", _PATH, 2).alias("kind"),
-                       F.regexp_extract("path", _PATH, 3).alias("name"),
-                       F.trim("value").alias("text")).where(F.col("kind") != "")
+    parts = spark.createDataFrame([], "run_id string, kind string, name string, text string")
+    if found:
+        raw = spark.read.option("wholetext", True).schema("value string").text(found)
+        path = F.col("_metadata.file_path")
+        parts = raw.select(F.regexp_extract(path, _PATH, 1).alias("run_id"), F.regexp_extract(path, _PATH, 2).alias("kind"),
+                           F.regexp_extract(path, _PATH, 3).alias("name"), F.trim("value").alias("text")).where(F.col("kind") != "")
+    if glob_exists(spark, f"{root}/kind=*"):
+        packed = spark.read.schema(PACKED).option("basePath", root).parquet(f"{root}/kind=*")
+        packed = packed.select("run_id", "kind", "name", F.trim("value").alias("text"))
+        parts = parts.unionByName(packed) if found else packed
     last_line = F.element_at(F.split(F.col("text"), "\n"), -1)
     metric_val = F.element_at(F.split(last_line, " "), 2)
     return parts.select("run_id", "kind", "name",
@@ -65,9 +71,9 @@ def runs_table_wide(runs: DataFrame, metrics: list[str], params: list[str], tags
 
 def write_run_files(df: DataFrame, root: str, metric_cols: list[str], param_cols: list[str],
                     tag_cols: list[str], millis: int = 0) -> None:
-    """Lay a runs table out as a run store, one small text file per value
-    (metrics as ``millis value step`` lines), with Spark's partitioned text
-    writer so it works on any shared file system."""
+    """Lay a runs table out as a packed run store: per value the text that its
+    file would hold (metrics as ``millis value step`` lines; of a run that
+    comes twice all lines), many runs to a file."""
     long_cols = ([("metrics", c) for c in metric_cols] + [("params", c) for c in param_cols]
                  + [("tags", c) for c in tag_cols])
     arr = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name"),
@@ -76,9 +82,10 @@ def write_run_files(df: DataFrame, root: str, metric_cols: list[str], param_cols
               .select("run_id", "e.kind", "e.name", "e.v").where(F.col("v").isNotNull()))
     line = F.when(F.col("kind") == "metrics", F.concat_ws(" ", F.lit(str(millis)), F.col("v"), F.lit("0"))) \
             .otherwise(F.col("v"))
-    (long.select("run_id", "kind", "name", line.alias("value"))
-         .repartition("run_id", "kind", "name")            # one file per value
-         .write.mode("overwrite").partitionBy("run_id", "kind", "name").text(root))
+    run = F.coalesce(F.nullif(F.col("run_id").cast("string"), F.lit("")), F.lit(NO_NAME)).alias("run_id")
+    (long.select(run, "kind", "name", line.alias("value"))
+         .groupBy("run_id", "kind", "name").agg(F.array_join(F.collect_list("value"), "\n").alias("value"))
+         .write.mode("overwrite").partitionBy("kind", "name").parquet(root))
 
 
 def runs_append(spark: SparkSession, path: str, run_name: str, params: dict, metrics: dict,

@@ -112,6 +112,20 @@ def test_run_store_roundtrip_and_best(spark):
     assert best == {"classifier": "r1", "regressor": "r3"}                 # tie -> first run_id
 
 
+def test_run_store_files_do_not_grow_with_runs(spark):
+    """A packed store has one folder per value name, whatever the number of
+    runs, and is read beside run folders of the same root."""
+    n = 300
+    fx = spark.range(n).selectExpr("concat('r', id) AS run_id", "id / 8 AS test_auc", "IF(id % 2 = 0, 'final', NULL) AS stage")
+    root = scratch_path(spark, "t_runs")
+    R.write_run_files(fx, root, ["test_auc"], [], ["stage"])
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).count()
+    assert files < n / 10
+    spark.createDataFrame([("0 0.25 0",)], "value string").coalesce(1).write.text(f"{root}/run_id=old/kind=metrics/name=test_auc")
+    got = {r["run_id"]: (r["metrics.test_auc"], r["tags.stage"]) for r in R.runs_wide(R.runs_long(spark, root), ["test_auc"], [], ["stage"]).collect()}
+    assert got == {f"r{i}": (i / 8, None if i % 2 else "final") for i in range(n)} | {"old": (0.25, None)}
+
+
 def test_logged_run_closes_on_failure(spark):
     path = scratch_path(spark, "t_runs_tbl")
     with pytest.raises(RuntimeError):
