@@ -103,7 +103,7 @@ def from_sort_key(key: Column) -> Column:
     return F.when(key < 0, -v).otherwise(v)
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value_col: str, probs: list[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value_col: str, probs: list[float], n_slices: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy/pandas default,
     DuckDB ``quantile_cont``, Spark ``percentile``) per key.
 
@@ -115,6 +115,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value_col: str, probs: list[
     when its cell has one value, or when it is the cell's first or last. The
     wanted cells, keys x probs x 2 rows, are a written table, so Spark
     broadcasts it by its file size and shuffles both sides beyond that.
+    ``n_slices`` is taken as ``prefix_sum`` takes it; no slices are cut here,
+    so any number gives the same rows.
     """
     spark = df.sparkSession
     cond = F.col(value_col).isNotNull()
