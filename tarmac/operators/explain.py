@@ -239,6 +239,9 @@ def shap_values(df: DataFrame, nodes: DataFrame, id_col: str = "row_id", feature
                                 "value": phi[r, c]})
 
     src = df.select(F.col(id_col), vector_to_array(F.col(features_col)).alias("x"))
+    # a row takes a millisecond but only some hundred bytes: by their bytes
+    # alone, thousands of rows would be one task
+    src = src.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
     out = src.mapInPandas(run, f"{id_col} long, feature_index int, value double")
     return out, base
 

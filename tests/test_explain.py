@@ -87,6 +87,16 @@ def test_shap_matches_exact_shapley_on_one_tree():
     assert abs(H.expected_value(trees) + got.sum() - value({0, 1, 2})) < 1e-12
 
 
+def test_rows_of_one_file_are_many_tasks(spark):
+    df, _ = _data(spark, 200)
+    model = GBTRegressor(labelCol="target", maxIter=2, maxDepth=3, seed=1).fit(df)
+    path = scratch_path(spark, "gbt_test")
+    model.write().overwrite().save(path)
+    attr, _ = H.shap_values(df.coalesce(1), H.tree_nodes(spark, path))
+    tasks = attr.select("row_id", F.spark_partition_id().alias("task")).distinct()
+    assert tasks.select("row_id").distinct().count() > 100 and tasks.select("task").distinct().count() >= spark.sparkContext.defaultParallelism
+
+
 def test_importance_tables(spark):
     attr = spark.createDataFrame([(1, "a", 1.0), (1, "b", -2.0), (2, "a", -3.0)], "row_id long, feature string, value double")
     imp = {r["feature"]: r["importance"] for r in H.mean_abs_importance(attr).collect()}
