@@ -42,11 +42,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from tokenizers import Regex, normalizers
 
+from tarmac.llm.common import small_batches
+
 # Bounds of a worker's memory, some 40 MB each: chunks of text kept, of at most
 # so many characters, and states of the transition table; both start anew beyond.
 CACHED, CACHED_CHARS = 200_000, 40
 STATES = 150_000
-SLICE = 2 << 20        # characters of text turned into one output batch
+SLICE = 1 << 20        # characters of text turned into one output batch
 LOCK_STEP = 64         # bytes; longer words are walked by themselves
 _NEVER = 1 << 60
 _START, _NONE = -1, -2  # in the place of an arc: the word's start; a position on no path
@@ -354,6 +356,7 @@ def _encode(it: Iterator[pa.RecordBatch], sent, names: list[str], labels: bool)
             flat = np.frombuffer(b"".join(found), np.int32)
             out = [*b.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *([tokenizer.decode_arrays(flat, ends)] if labels else [])]
             yield pa.RecordBatch.from_arrays(out, names=names)
+        pa.default_memory_pool().release_unused()   # workers live on into other stages
 
 
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids",
@@ -363,6 +366,7 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", ids_col
     decoded ids as string ``decoded_col`` if named. Columns of these
     names are replaced; every row, repeated ones too, is encoded by itself.
     Empty tables stay empty."""
+    small_batches(docs.sparkSession)
     new = [ids_col, *([decoded_col] if decoded_col else [])]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
     plain = docs.select(*[F.col(f"`{c}`") for c in kept])

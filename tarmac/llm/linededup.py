@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tarmac.llm.common import cut, text_or_empty
+from tarmac.llm.common import cut, small_batches, text_or_empty
 
 UNIT_LINES, UNIT_WORDS = 2, 25
 RUN_LINES, RUN_WORDS = 4, 50
@@ -261,11 +261,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     without a word don't count towards a run, but go with it. Other columns
     pass through.
     """
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != "deleted_lines"]
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), F.xxhash64(text_or_empty(text_col))]
     named = docs.select(*kept)
     runs = repeated_runs(docs.select(key[0].alias("id"), key[1].alias("tie"), text_or_empty(text_col).alias("text"))
                          .where("text != ''")).select(F.col("id").alias("run id"), F.col("tie").alias("run tie"), F.col("runs").alias("run list"))
-    joined = named.join(runs, (key[0] == runs["run id"]) & (key[1] == runs["run tie"]), "left").select(*[named[c] for c in kept], "run list")
+    # a row per document on the hashed side, so the texts needn't be sorted
+    joined = named.join(runs.hint("shuffle_hash"), (key[0] == runs["run id"]) & (key[1] == runs["run tie"]), "left").select(*[named[c] for c in kept], "run list")
     at = kept.index(text_col)
     return joined.mapInArrow(lambda it: _delete(it, at), StructType([*named.schema.fields, StructField("deleted_lines", LongType())]))
